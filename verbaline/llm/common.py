@@ -33,6 +33,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def again(df: DataFrame) -> DataFrame:
+    """A table made by written(), read anew: columns of its own for joins and cogroups with what derives from it."""
+    out = df.sparkSession.read.schema(df.schema).parquet(df.scratch_path)
+    out.scratch_path = df.scratch_path
+    return out
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table made by written() that nothing reads any more."""
     path = getattr(df, "scratch_path", None)
@@ -51,6 +58,11 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def fold(doc_id: Column, n: int) -> Column:
+    """crc32 of doc_id as text, modulo n; a null doc_id falls in fold 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % n
+
+
 def hash32(*parts: Column) -> Column:
     """The first 32 bits of an MD5 digest as a long, 0 to 2^32 - 1; nulls are written out as \\N."""
     key = F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("\\N")) for p in parts))
