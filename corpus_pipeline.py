@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from verbaline.llm import mixing, packing, simhash  # noqa: F401
+from verbaline.llm import mixing, packing, quality, secrets, simhash
 from verbaline.llm.common import written
 
 STAGES = [
+    ("quality_classifier", quality.stage),
     ("simhash_near_dedup", simhash.stage),
+    ("secret_scan", secrets.stage),
+    ("source_mixing", mixing.stage),
     ("best_fit_packing", packing.stage),
 ]
 

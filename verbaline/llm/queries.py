@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from verbaline.llm import mixing, packing, sharding, simhash
+from verbaline.llm import language_id, lm_score, metric_join, mixing, nn_descent, packing, quality, secrets, sharding, simhash
 
 
 def queries():
     return {
+        "op1_quality": quality.op1,
+        "op2_lm_score": lm_score.op2,
         "op3_best_fit_packing": packing.op3,
+        "op4_language_id": language_id.op4,
+        "op5_metric_join": metric_join.op5,
         "op6_simhash": simhash.op6,
+        "op7_nn_descent": nn_descent.op7,
+        "op8_secrets": secrets.op8,
         "op9_mixing": mixing.op9,
         "op10_sharding": sharding.op10,
     }
 
 
 def oracle_sql():
-    return {"op9_mixing": mixing.OP9_SQL}
+    """Models, tokenizers, fingerprints, CRCs and offsets of matches are beyond SQL; those queries are tested against plain versions."""
+    return {"op5_metric_join": metric_join.OP5_SQL, "op9_mixing": mixing.OP9_SQL}
