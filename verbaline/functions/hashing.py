@@ -130,4 +130,4 @@ def hash_udf(name: str, seed: int = 1):
 def unsigned(h: Column) -> Column:
     """A two's-complement hash as a decimal without sign."""
     d = h.cast("decimal(20,0)")
-    return F.when(h < 0, d + F.lit(2**64).cast("decimal(20,0)")).otherwise(d).cast("decimal(20,0)")
+    return F.when(h < 0, d + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(d).cast("decimal(20,0)")

@@ -1,15 +1,353 @@
-"""The catalogue of queries with their SQL."""
+"""The catalogue of queries: each runs over whole tables. Their SQL is in oracle.py."""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-def entry(spark, sf_dir: str):
-    raise NotImplementedError
+from verbaline.functions import hashing, registry, tags
+from verbaline.functions.rules import peel
+from verbaline.operators import cnn, features, tokens, vocab
+from verbaline.plans import oracle
+from verbaline.sources import conllu, vocab_json
+from verbaline.streaming import tagger
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.web_token_table(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with tags and dependencies by a formula: synthetic, not linguistic. It reaches every pair of the two."""
+    t = web(spark, sf_dir)
+    label = ((F.col("tok_idx") + F.length("token")) % 50).cast("int")
+    dep = ((F.col("doc_id") + F.floor(F.col("tok_idx") / 50) + F.length("token")) % 46).cast("int")
+    t = t.select("*", label.alias("label_idx"), dep.alias("dep_id"))
+    return t.select("*", tags.pick(F.col("label_idx"), [x for x, _ in tags.LABELS]).alias("tag"), tags.pick(F.col("dep_id"), tags.DEPS).alias("dep"))
+
+
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotated(spark, sf_dir).withColumn("upos", tags.resolve_upos(F.col("tag"), F.col("dep")))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokenise, build the vocabulary, encode, count tokens and distinct ids of each document."""
+    t = web(spark, sf_dir)
+    e = vocab.encode(t, vocab.word_vocab(t))
+    return e.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("word_id").alias("n_words"), F.sum("word_id").alias("id_sum"))
+
+
+def web_token_counts(spark, sf_dir):
+    return features.token_count(web(spark, sf_dir))
+
+
+def vocab_map(spark, sf_dir):
+    return vocab.word_vocab(web(spark, sf_dir))
+
+
+def tag_map(spark, sf_dir):
+    return vocab.tag_vocab(annotated(spark, sf_dir))
+
+
+def _split(spark, sf_dir):
+    t = web(spark, sf_dir)
+    return vocab.word_vocab(t.where("doc_id % 5 <> 0")), t.where("doc_id % 5 = 0")
+
+
+def encode_unk(spark, sf_dir):
+    v, test = _split(spark, sf_dir)
+    return vocab.encode(test, v).select("doc_id", "tok_idx", "word_id")
+
+
+def oov_words(spark, sf_dir):
+    v, test = _split(spark, sf_dir)
+    return vocab.unseen(test, v, "token", "word")
+
+
+def strict_tag_check(spark, sf_dir):
+    a = annotated(spark, sf_dir)
+    known = vocab.tag_vocab(a.where("doc_id % 5 <> 0"))
+    return vocab.encode_tags(a.where("doc_id % 5 = 0"), known).groupBy("tag", "tag_id").agg(F.count("*").alias("n"))
+
+
+def dataset_stats(spark, sf_dir):
+    return vocab.dataset_stats(annotated(spark, sf_dir), "doc_id", "token", "tag")
+
+
+def ws_runs(spark, sf_dir):
+    return tokens.run_table(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def rule_tokens(spark, sf_dir):
+    return tokens.rule_token_table(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def sql_functions(spark, sf_dir):
+    """Registered names in plain SQL: tokens by the table function, with hashes and web tokens."""
+    registry.register(spark)
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("verbaline_items")
+    return spark.sql("SELECT b.item_id, x.tok_idx, x.token, murmur64a(x.token) AS hash, size(web_tokens(x.token)) AS n_web FROM verbaline_items b, LATERAL rule_tokenize(b.text) AS x")
+
+
+def url_rule_tokens(spark, sf_dir):
+    return tokens.rule_token_table(table(spark, sf_dir, "pages"), "page_id", text="url")
+
+
+def spacy_flags(spark, sf_dir):
+    flags = F.transform("tokens", lambda t: t["spacy"].cast("int"))
+    return tokens.rule_docs(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.aggregate(flags, F.lit(0), lambda a, x: a + x).cast("long").alias("n_spacy"))
+
+
+def rule_token_counts(spark, sf_dir):
+    return tokens.rule_docs(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def affix_peel(spark, sf_dir):
+    """Distinct chunks with what is peeled off them."""
+    d = table(spark, sf_dir, "documents")
+    chunks = d.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x09-\x0D\x20\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"), 0)).alias("chunk")).distinct()
+
+    def run(parts):
+        for p in parts:
+            got = [peel(c) for c in p.chunk]
+            p["prefixes"], p["core"], p["suffixes"] = ["\x01".join(x[0]) for x in got], [x[1] for x in got], ["\x01".join(x[2]) for x in got]
+            yield p
+
+    return chunks.mapInPandas(run, "chunk string, prefixes string, core string, suffixes string")
+
+
+def byte_offsets(spark, sf_dir):
+    return tokens.byte_offsets(rule_tokens(spark, sf_dir)).select("doc_id", "tok_idx", "start_byte", "end_byte", "spacy")
+
+
+def doc_buffer_size(spark, sf_dir):
+    return tokens.packed(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.octet_length("buffer").cast("long").alias("n_bytes"))
+
+
+def doc_buffer_md5(spark, sf_dir):
+    return tokens.packed(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.md5("buffer").alias("md5"))
+
+
+def _hashed(name):
+    def q(spark, sf_dir):
+        words = web(spark, sf_dir).select(F.col("token").alias("word")).distinct()
+        h = hashing.hash_udf(name)(F.col("word"))
+        out = words.select("word", h.alias("hash"))
+        return out.withColumn("hash_unsigned", hashing.unsigned(F.col("hash")).cast("string")) if "64" in name else out
+
+    return q
+
+
+def upos_base(spark, sf_dir):
+    a = annotated(spark, sf_dir)
+    dim = tags.dim_tag(spark).select("tag", "upos_base")  # 51 rows, fixed
+    return a.join(F.broadcast(dim), "tag").groupBy("tag", "upos_base").agg(F.count("*").alias("n"))
+
+
+def upos_resolved(spark, sf_dir):
+    return resolved(spark, sf_dir).select("doc_id", "tok_idx", "tag", "dep", "upos")
+
+
+def upos_raw_compat(spark, sf_dir):
+    a = annotated(spark, sf_dir).withColumn("upos", tags.resolve_upos_raw(F.col("label_idx"), F.col("dep_id")))
+    return a.groupBy("label_idx", "dep_id", "upos").agg(F.count("*").alias("n"))
+
+
+def upos_counts(spark, sf_dir):
+    dim = tags.dim_upos(spark)  # 19 rows, fixed
+    return resolved(spark, sf_dir).join(F.broadcast(dim), "upos").groupBy("upos", "upos_id").agg(F.count("*").alias("n"))
+
+
+def noun_verb_wh_flags(spark, sf_dir):
+    t = F.col("tag")
+    counts = (F.count_if(f(t)).alias(n) for f, n in ((tags.is_noun, "nouns"), (tags.is_verb, "verbs"), (tags.is_wh_word, "wh_words")))
+    return annotated(spark, sf_dir).groupBy("doc_id").agg(*counts)
+
+
+def sentence_feats_literal(spark, sf_dir):
+    return features.sentence_level_feats(resolved(spark, sf_dir))
+
+
+def wh_question_count(spark, sf_dir):
+    return features.wh_question_count(resolved(spark, sf_dir))
+
+
+def head_tokens(spark, sf_dir):
+    a = annotated(spark, sf_dir).withColumn("head", F.floor(F.col("tok_idx") / 2))
+    return features.heads(a).select("doc_id", "tok_idx", "head_token", "head_tag")
+
+
+def conllu_roundtrip(spark, sf_dir):
+    files = conllu.to_text(annotated(spark, sf_dir), "doc_id", form="token", xpos="tag")
+    return conllu.tokens_of(files.select(F.col("doc_id").alias("path"), "text")).select(F.col("path").alias("doc_id"), "tok_idx", "form", "xpos")
+
+
+def conllu_filter_ids(spark, sf_dir):
+    """Every seventh line a range, every eleventh an empty node; both are left out again."""
+    n = F.col("tok_idx")
+    mark = F.when(n % 7 == 3, F.concat((n + 1).cast("string"), F.lit("-"), (n + 2).cast("string"))).when(n % 11 == 5, F.concat((n + 1).cast("string"), F.lit(".1"))).otherwise((n + 1).cast("string"))
+    a = annotated(spark, sf_dir).select("doc_id", "tok_idx", F.concat_ws("\t", mark, "token", F.lit("_"), F.lit("_"), "tag", *[F.lit("_")] * 5).alias("l"))
+    files = a.groupBy(F.col("doc_id").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "l"))), lambda x: x["l"]), "\n").alias("text"))
+    return conllu.tokens_of(files).groupBy(F.col("path").alias("doc_id"), "xpos").agg(F.count("*").alias("n"))
+
+
+def vocab_json_roundtrip(spark, sf_dir):
+    return vocab_json.from_json(vocab_json.to_json(vocab_map(spark, sf_dir), "word", "word_id"), "word", "word_id")
+
+
+def tag_map_invert(spark, sf_dir):
+    return vocab_json.inverted(vocab_json.from_json(vocab_json.to_json(tag_map(spark, sf_dir), "tag", "tag_id"), "tag", "tag_id"), "tag", "tag_id")
+
+
+def batch_assignment(spark, sf_dir):
+    return vocab.batch_ids(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+def _turns(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("sent_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return tokens.web_token_table(c, "sent_id")
+
+
+def _sentences(encoded: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row per sentence with arrays in token order; a sentence's size bounds the arrays."""
+    g = encoded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tok_idx", *columns))).alias("s"))
+    return g.select(key, *(F.col(f"s.{c}").alias(f"{c}s") for c in columns))
+
+
+def pad_batches(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    s = _sentences(vocab.encode(t, vocab.word_vocab(t)), "sent_id", "word_id")
+    b = vocab.pad(vocab.batch_ids(s, "sent_id"), "word_ids", 0)
+    return b.select("sent_id", "batch_id", F.array_join(F.transform("word_ids", lambda x: x.cast("string")), " ").alias("padded"))
+
+
+def _encoded(spark, sf_dir):
+    t = web(spark, sf_dir)
+    return vocab.encode(t, vocab.word_vocab(t))
+
+
+def trigram_contexts(spark, sf_dir):
+    w = Window.partitionBy("doc_id").orderBy("tok_idx")
+    e = _encoded(spark, sf_dir)
+    tri = e.select(F.lag("word_id").over(w).alias("left_id"), F.col("word_id").alias("mid_id"), F.lead("word_id").over(w).alias("right_id"))
+    return tri.groupBy("left_id", "mid_id", "right_id").agg(F.count("*").alias("n"))
+
+
+def whole_number_net(words: int) -> dict[str, np.ndarray]:
+    """A small net with whole-number weights by formula, whose results are exact in any engine."""
+    v, d, f, t = np.arange(words)[:, None], np.arange(4), np.arange(3), np.arange(5)
+    k = np.arange(3)
+    return {
+        "embedding": (v * (d + 1) % 5 - 2).astype(np.float32), "conv.weight": ((f[:, None, None] + 2 * d[None, :, None] + 3 * k) % 3 - 1).astype(np.float32), "conv.bias": (f - 1).astype(np.float32),
+        "fc.weight": ((2 * t[:, None] + f) % 3 - 1).astype(np.float32), "fc.bias": (t % 2).astype(np.float32),
+    }
+
+
+def _scored(spark, sf_dir):
+    """doc_id, tok_idx, word_id, label (-1 where masked), logits of the whole-number net."""
+    t = web(spark, sf_dir)
+    v = vocab.word_vocab(t)
+    net = whole_number_net(v.count())
+    label = F.when(F.col("tok_idx") % 10 == 9, -1).otherwise((F.col("tok_idx") + F.length("token")) % 5).cast("long")
+    s = _sentences(vocab.encode(t, v).withColumn("label", label), "doc_id", "word_id", "label")
+    s = s.withColumn("logits", cnn.logits_udf(spark, net)(F.col("word_ids")))
+    return s.select("doc_id", F.posexplode(F.arrays_zip("word_ids", "labels", "logits")).alias("tok_idx", "x")).select("doc_id", F.col("tok_idx").cast("long"), F.col("x.word_ids").alias("word_id"), F.col("x.labels").alias("label"), F.col("x.logits").alias("logits"))
+
+
+def conv_int_logits(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", "tok_idx", F.array_join(F.transform("logits", lambda x: x.cast("long").cast("string")), " ").alias("logits"))
+
+
+def argmax_first(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", "tok_idx", vocab.argmax(F.col("logits")).alias("tag_id"))
+
+
+def masked_accuracy(spark, sf_dir):
+    s = _scored(spark, sf_dir).select("doc_id", "label", vocab.argmax(F.col("logits")).alias("pred"))
+    return cnn.accuracy(s, "pred", "label", "doc_id").select("doc_id", F.round("accuracy", 6).alias("accuracy"))
+
+
+def batch_mean_accuracy(spark, sf_dir):
+    """Mean of batch accuracies beside the token-weighted one."""
+    s = _scored(spark, sf_dir).select(F.floor(F.col("doc_id") / 32).alias("batch_id"), "label", vocab.argmax(F.col("logits")).alias("pred"))
+    per = s.groupBy("batch_id").agg(F.count_if((F.col("pred") == F.col("label")) & (F.col("label") >= 0)).alias("r"), F.count_if(F.col("label") >= 0).alias("n"))
+    return per.agg(F.round(F.avg(F.try_divide("r", "n")), 6).alias("batch_mean"), F.round(F.try_divide(F.sum("r"), F.sum("n")), 6).alias("token_mean"))
+
+
+def cross_entropy(spark, sf_dir):
+    """Loss of each batch over its labelled tokens."""
+    s = _scored(spark, sf_dir).select(F.floor(F.col("doc_id") / 32).alias("batch_id"), cnn.cross_entropy(F.col("logits"), F.col("label")).alias("loss"))
+    return s.groupBy("batch_id").agg(F.round(F.avg("loss"), 6).alias("loss"))
+
+
+def epoch_loss(spark, sf_dir):
+    s = _scored(spark, sf_dir).select(F.floor(F.col("doc_id") / 32).alias("batch_id"), cnn.cross_entropy(F.col("logits"), F.col("label")).alias("loss"))
+    return s.groupBy("batch_id").agg(F.avg("loss").alias("loss")).agg(F.round(F.avg("loss"), 6).alias("epoch_loss"))
+
+
+def decode_tags(spark, sf_dir):
+    """Predicted tags by name, with how often each is predicted."""
+    names = spark.createDataFrame([(i, t) for i, t in enumerate(tags.SHIPPED[:5])], "tag_id long, tag string")
+    return vocab.decode(argmax_first(spark, sf_dir), names).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def weights_roundtrip(spark, sf_dir):
+    """The net as a table, read into arrays and written again: shapes, sizes and sums."""
+    t = cnn.to_table(spark, cnn.from_table(cnn.to_table(spark, whole_number_net(vocab_map(spark, sf_dir).count()))))
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return t.select("name", F.array_join(F.transform("shape", lambda x: x.cast("string")), " ").alias("shape"), F.size("values").cast("long").alias("n"), total.alias("total"))
+
+
+def _turn_messages(df: DataFrame) -> DataFrame:
+    return df.withColumn("request_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+
+
+def _by_length(words):
+    """A stand-in for a model: the tag is the label at the word's length."""
+    return F.transform(words, lambda w: tags.pick(F.length(w) % 50, [t for t, _ in tags.LABELS]))
+
+
+def render_html(spark, sf_dir):
+    return tagger.render(tagger.infer(_turn_messages(table(spark, sf_dir, "conversations")), _by_length))
+
+
+MESSAGES = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
+
+
+def stream_infer(spark, sf_dir):
+    """The same over a stream of all conversation turns."""
+    source = f"{sf_dir}/conversations.parquet*"
+    out = tagger.run_available(spark, source, MESSAGES, lambda s: tagger.infer(_turn_messages(s), _by_length))
+    return out.select("request_id", "type", F.array_join("words", " ").alias("words"), F.array_join("tags", " ").alias("tags"))
+
+
+def cnn_train(spark, sf_dir):
+    """Loss and accuracy of each epoch of a tagger trained on all benchmark items but every fifth, and tested on those."""
+    t = tokens.web_token_table(table(spark, sf_dir, "benchmark"), "item_id").withColumn("tag", tags.pick((F.length("token") % 50).cast("int"), [x for x, _ in tags.LABELS]))
+    train = t.where("item_id % 5 <> 0")
+    words, names = vocab.word_vocab(train), vocab.tag_vocab(t)
+    e = vocab.encode_tags(vocab.encode(t, words), names)
+    sets = [cnn.collected(_sentences(e.where(f"item_id % 5 {op} 0"), "item_id", "word_id", "tag_id").orderBy("item_id"), "word_ids", "tag_ids") for op in ("<>", "=")]
+    _, history = cnn.train(*sets, words.count(), names.count(), epochs=5, batch=8)
+    return spark.createDataFrame(history, "epoch int, loss double, accuracy double")
 
 
 def queries() -> dict:
-    return {}
+    plain = (
+        web_token_counts, vocab_map, tag_map, encode_unk, oov_words, strict_tag_check, dataset_stats, ws_runs, spacy_flags, affix_peel, rule_tokens, url_rule_tokens, rule_token_counts, sql_functions,
+        byte_offsets, doc_buffer_size, doc_buffer_md5, upos_base, upos_resolved, upos_raw_compat, upos_counts, noun_verb_wh_flags, sentence_feats_literal, wh_question_count, head_tokens,
+        conllu_roundtrip, conllu_filter_ids, vocab_json_roundtrip, tag_map_invert, batch_assignment, pad_batches, trigram_contexts, conv_int_logits, argmax_first, masked_accuracy, batch_mean_accuracy,
+        cross_entropy, epoch_loss, decode_tags, weights_roundtrip, render_html, stream_infer, cnn_train,
+    )
+    out = {"encode_documents": entry, "web_tokens": web} | {f.__name__: f for f in plain}
+    return out | {f"{n}_words": _hashed(n) for n in hashing.HASHES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.queries()

@@ -33,7 +33,7 @@ def render(results: DataFrame, key: str = "request_id") -> DataFrame:
 
 
 def run_available(spark: SparkSession, source: str, schema, transform, folder: str | None = None) -> DataFrame:
-    """Runs a stream over all files there are in a Parquet source, and returns what it wrote.
+    """Runs a stream over all files there are in a Parquet source (a pattern: one file, or a folder of them), and returns what it wrote.
 
     The sink and its log lie in the shared folder that the cluster names, so a restarted query goes on where it stopped.
     """
