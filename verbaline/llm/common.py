@@ -90,6 +90,13 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column],
     return d.join(sums.alias("s"), on).select(*keep, *((F.col(f"_s_{n}") + F.col(f"_w_{n}")).alias(n) for n in add))
 
 
+def first_by_hash(df: DataFrame, h: str, most: int, rows: int, *ties: str) -> DataFrame:
+    """The `most` rows of least hash32 value h among `rows` rows. A bound on h, generous by several deviations, goes first,
+    so that tasks send on about as many rows as are wanted, however many tasks there are."""
+    share = (most + 6 * most**0.5 + 30) / max(1, rows)
+    return df.where(F.col(h) < int(2**32 * min(1.0, share))).orderBy(h, *ties).limit(most)
+
+
 def hash_bucket(h: Column, rows: int) -> Column:
     """Bucket of a hash32 value that rises with it, of about ROWS_PER_BUCKET rows."""
     n = max(1, -(-rows // ROWS_PER_BUCKET))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbaline.llm.common import fold, hash32
+from verbaline.llm.common import first_by_hash, fold, hash32
 from verbaline.llm.nn import Adam, log_softmax, normal, sigmoid, summed
 
 #: Bytes in a sequence: a word is one sequence, a longer one is cut. Units of each direction.
@@ -168,7 +168,7 @@ def learn(docs: DataFrame, *, most: int = TRAIN_DOCS, words: int = TRAIN_WORDS)
     `words` words of each, evenly spaced; texts stay on the executors."""
     ids = docs.where("lang is not null and text is not null").select("text", "lang", hash32(F.col("doc_id")).alias("h"))
     n = ids.count()
-    near = ids.where(F.col("h") < int(2**32 * min(1.0, 1.2 * most / max(1, n) + 20 / max(1, n))))
+    near = first_by_hash(ids, "h", most, n, "text").select("text", "lang", "h")
 
     def spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,8 +179,8 @@ def learn(docs: DataFrame, *, most: int = TRAIN_DOCS, words: int = TRAIN_WORDS)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.int64()), strict=True)], ["words", "lang", "h"])
 
-    got = near.mapInArrow(spaced, "words binary, lang string, h long").orderBy("h", "words").limit(most).collect()
-    return train([(w, r.lang) for r in got for w in bytes(r.words).split(b"\n")[:words] if w])
+    got = sorted(near.mapInArrow(spaced, "words binary, lang string, h long").collect(), key=lambda r: (r.h, bytes(r["words"])))
+    return train([(w, r.lang) for r in got for w in bytes(r["words"]).split(b"\n")[:words] if w])
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:

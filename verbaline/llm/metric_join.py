@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbaline.llm.common import written
+from verbaline.llm.common import first_by_hash, hash32, written
 from verbaline.llm.components import components
 from verbaline.llm.vectors import matrix, unit, usable
 
@@ -81,7 +81,8 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.98, cell: int = CELL, b
     classes = written(classes.select("*", F.size("vec").alias("dim"), F.xxhash64("vec", "label").alias("h")), "classes")
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     k = min(MOST_PIVOTS, -(-largest // cell)) or 1
-    picked = [np.asarray(r.vec, np.float64) for r in classes.orderBy("h", "node").limit(k).collect()]
+    some = classes.select("node", "vec", hash32(F.col("h")).alias("h"))
+    picked = [np.asarray(r.vec, np.float64) for r in first_by_hash(some, "h", k, classes.count(), "node").collect()]
     by_dim = {d: unit(np.stack([p for p in picked if len(p) == d])) for d in {len(p) for p in picked}}
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-7
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbaline.llm.common import fold, hash32
+from verbaline.llm.common import first_by_hash, fold, hash32, written
 from verbaline.llm.nn import Adam, normal, sigmoid, summed
 
 #: Words in a passage, buckets of words and of their shapes, width of a passage's vector and of its attention.
@@ -113,7 +113,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_DOCS) -> dict
     """
     y = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     y = y.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = y.orderBy(hash32(F.col("doc_id")), "doc_id").limit(most).select(F.col("doc_id").alias("id"), "quality").collect()
+    y = written(y.withColumn("h", hash32(F.col("doc_id"))), "labels")
+    chosen = first_by_hash(y, "h", most, y.count(), "doc_id").select(F.col("doc_id").alias("id"), "quality").collect()
     known = docs.sparkSession.createDataFrame(chosen, "id long, quality int") if chosen else None
     if known is None:
         return None

@@ -21,5 +21,5 @@ def queries():
 
 
 def oracle_sql():
-    """Models, tokenizers, fingerprints, CRCs and offsets of matches are beyond SQL; those queries are tested against plain versions."""
-    return {"op5_metric_join": metric_join.OP5_SQL, "op9_mixing": mixing.OP9_SQL}
+    """Models, tokenizers, fingerprints and offsets of matches are beyond SQL; those queries are tested against plain versions."""
+    return {"op5_metric_join": metric_join.OP5_SQL, "op9_mixing": mixing.OP9_SQL, "op10_sharding": sharding.OP10_SQL}

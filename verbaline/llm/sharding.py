@@ -73,12 +73,25 @@ def _drawn(n: int, out: str) -> str:
     return ", ".join(levels)
 
 
+def _crc_table() -> list[int]:
+    """The 256 remainders of CRC-32's reflected polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (c & 1) * 0xEDB88320
+        out.append(c)
+    return out
+
+
+_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+  lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"""
+
 OP10_SQL = f"""
 WITH d AS (SELECT DISTINCT doc_id FROM documents),
 {_drawn(24, "a")}, {_drawn(25, "b")},
-bits AS (SELECT t.*, row_number() OVER () AS rid FROM documents t)
-SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, 'key' AS law, a_shard.shard,
-  row_number() OVER (PARTITION BY a_shard.shard ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '\\N')), 1, 8))::BIGINT, doc_id) - 1 AS slot,
+t AS (SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, {_CRC}::BIGINT AS text_crc32 FROM documents)
+SELECT doc_id, size, text_crc32, 'key' AS law, a_shard.shard,
+  row_number() OVER (PARTITION BY a_shard.shard ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '\\N')), 1, 8))::BIGINT, doc_id, text_crc32, size) - 1 AS slot,
   b_shard.shard AS grown_shard
-FROM documents JOIN a_shard USING (doc_id) JOIN b_shard USING (doc_id)
+FROM t JOIN a_shard USING (doc_id) JOIN b_shard USING (doc_id)
 """

@@ -108,8 +108,67 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each class (five-word shingles, at most 2 bits; empty texts are one class)."""
-    classes = near_duplicates(docs, shingle=5, most=2)
-    kept = classes.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").dropDuplicates(["doc_id"])
+def wide_links(reps: DataFrame, most: int, least: float) -> DataFrame:
+    """(a, b) with a < b: pairs of rows (id, fp, n words) of at most `most` differing bits whose sizes allow a similarity of `least`.
+
+    With up to 7 bits over four segments the chains begin with a segment of at most one differing bit; so one side lists
+    each segment's 17 neighbours, and the join is on segment and size class. Sizes differ by a factor of 1 / least at
+    most, so classes of that width need only their neighbours.
+    """
+    if not 0 <= most < 2 * SEGMENTS:
+        raise ValueError("a segment of at most one differing bit is only certain below 8 bits")
+    level = F.floor(F.log(F.col("n")) / F.lit(float(np.log(1 / least)))).cast("int")
+    r = reps.where("n > 0").withColumn("level", level)
+    one = [F.lit(0), *(F.lit(1 << j) for j in range(WIDTH))]
+    around = F.array(*(F.struct(F.lit(i).alias("kind"), segment(F.col("fp"), i).bitwiseXOR(x.cast("long")).alias("key")) for i in range(SEGMENTS) for x in one))
+    exact = F.array(*(F.struct(F.lit(i).alias("kind"), segment(F.col("fp"), i).alias("key"), (F.col("level") + d).alias("at")) for i in range(SEGMENTS) for d in (-1, 0, 1)))
+    a = r.select("id", "fp", "n", F.col("level").alias("at"), F.inline(around)).alias("a")
+    b = r.select("id", "fp", "n", F.inline(exact)).alias("b")
+    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    d = [F.bit_count(segment(x, i)) for i in range(SEGMENTS)]
+    chain = F.lit(False)
+    for s in range(SEGMENTS):
+        chain = chain | viable(d, s, most)
+    same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.id") < F.col("b.id"))
+    sizes = F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 4
+    return a.join(b, same & sizes & chain & (F.bit_count(x) <= most)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """id, set: distinct 64-bit hashes of a text's shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for t in b.column(1):
+                w = (t.as_py() or "").encode().lower().split()
+                sets.append(sorted({xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle])) - 2**63 for i in range(max(1, len(w) - shingle + 1))}))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+
+    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, set array<long>")
+
+
+def similar(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs of doc_ids whose distinct shingles have a Jaccard similarity of `least` or more; only texts in a pair are read again."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
+    sets = written(shingle_sets(docs.join(ids, docs.doc_id == F.col("i"), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), shingle), "sets")
+    x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    p = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    return p.where(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str, shingle: int = 5, most: int = 2, wide: int = 7, least: float = 0.8) -> DataFrame:
+    """Keeps one document, the first by doc_id, of each group of near-duplicates over five-word shingles.
+
+    First all fingerprints within `most` bits are linked, which folds the large groups of copies. Then only one document
+    of each class goes on: those within `wide` bits are compared by their shingles themselves and linked at a similarity
+    of `least`. Empty texts are one class. Documents without doc_id are kept as one if their texts' class has no other.
+    """
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n")
+    classes = near_duplicates(docs, shingle=shingle, most=most)
+    first = written(classes.where("doc_id <=> component_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "fp"), "first")
+    sizes = docs.select(F.col("doc_id").alias("_i"), words).groupBy("_i").agg(F.max("n").alias("n"))
+    reps = written(first.join(sizes, F.col("id") == F.col("_i")).select("id", "fp", "n"), "reps")
+    near = components(similar(docs, wide_links(reps, wide, least), shingle, least), "a", "b")
+    gone = near.where("node <> component").select("node")
+    kept = first.join(gone, F.col("id") == F.col("node"), "left_anti").select("id")
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id"])
