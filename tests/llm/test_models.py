@@ -26,9 +26,8 @@ def checked(f, params, grads, each=4, tolerance=2e-3):
     rng = np.random.default_rng(0)
     for k, g in grads.items():
         for _ in range(each):
-            at = tuple(rng.integers(0, n) for n in g.shape) if rng.random() < 0.3 or not g.any() else tuple(x[rng.integers(0, len(x))] for x in [np.nonzero(g)])[0:0] or tuple(int(v[rng.integers(0, len(v))]) for v in [np.flatnonzero(g)])
-            if len(at) != g.ndim:
-                at = np.unravel_index(at[0], g.shape)
+            some = np.flatnonzero(g) if g.any() and rng.random() < 0.7 else np.arange(g.size)
+            at = np.unravel_index(int(rng.choice(some)), g.shape)
             assert abs(slope(f, params[k], at) - g[at]) < tolerance, k
 
 
@@ -174,7 +173,7 @@ def test_lm_is_a_distribution():
     total = sum(math.exp(lm_score.log_likelihood(p, z, np.array([c]))[0][0]) for c in range(-(-n // lm_score.GROUPS) * lm_score.GROUPS))
     assert abs(total - 1) < 1e-4
     sums = np.bincount(model["of"], 10.0 ** model["share"], n)
-    assert np.allclose(sums, 1)
+    assert np.allclose(sums[np.bincount(model["of"], minlength=n) > 0], 1)
 
 
 BASE = r"""

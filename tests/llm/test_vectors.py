@@ -90,7 +90,7 @@ def test_recall_on_all_embeddings(spark):
 
 
 def test_search_of_odd_rows(spark):
-    v = frame(spark, [(i, [1.0, 0.0], 1) for i in range(40)] + ODD[4:8] + [(100, [0.5, 0.5], 1)])
+    v = frame(spark, [(i, [1.0, 0.0], 1) for i in range(40)] + ODD[5:9] + [(100, [0.5, 0.5], 1)])
     got = nn_descent.nearest(v, v.where("vec_id in (5, 20, 100)"), top=20).toPandas()
     assert got[got.query_id == 20].sort_values("rank").vec_id.tolist() == list(range(20))
     assert got[got.query_id == 100].sort_values("rank").vec_id.tolist() == list(range(20))

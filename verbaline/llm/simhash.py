@@ -109,14 +109,13 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def wide_links(reps: DataFrame, most: int, least: float) -> DataFrame:
-    """(a, b) with a < b: pairs of rows (id, fp, n words) of at most `most` differing bits whose sizes allow a similarity of `least`.
+    """(a, b) with a < b: pairs of rows (id, fp, n words) of at most `most` differing bits, one segment of which differs in
+    at most one, and whose sizes allow a similarity of `least`.
 
-    With up to 7 bits over four segments the chains begin with a segment of at most one differing bit; so one side lists
-    each segment's 17 neighbours, and the join is on segment and size class. Sizes differ by a factor of 1 / least at
-    most, so classes of that width need only their neighbours.
+    The chain of a pair with up to 7 differing bits begins with such a segment, so no pair of these is missed; of pairs with
+    more bits those are found that happen to have one. One side lists each segment's 17 neighbours, and the join is on
+    segment and size class. Sizes differ by a factor of 1 / least at most, so a class of that width needs its neighbours only.
     """
-    if not 0 <= most < 2 * SEGMENTS:
-        raise ValueError("a segment of at most one differing bit is only certain below 8 bits")
     level = F.floor(F.log(F.col("n")) / F.lit(float(np.log(1 / least)))).cast("int")
     r = reps.where("n > 0").withColumn("level", level)
     one = [F.lit(0), *(F.lit(1 << j) for j in range(WIDTH))]
@@ -125,13 +124,9 @@ def wide_links(reps: DataFrame, most: int, least: float) -> DataFrame:
     a = r.select("id", "fp", "n", F.col("level").alias("at"), F.inline(around)).alias("a")
     b = r.select("id", "fp", "n", F.inline(exact)).alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    d = [F.bit_count(segment(x, i)) for i in range(SEGMENTS)]
-    chain = F.lit(False)
-    for s in range(SEGMENTS):
-        chain = chain | viable(d, s, most)
     same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.id") < F.col("b.id"))
     sizes = F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 4
-    return a.join(b, same & sizes & chain & (F.bit_count(x) <= most)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return a.join(b, same & sizes & (F.bit_count(x) <= most)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -156,7 +151,7 @@ def similar(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> Da
     return p.where(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
 
-def stage(spark, docs: DataFrame, sf_dir: str, shingle: int = 5, most: int = 2, wide: int = 7, least: float = 0.8) -> DataFrame:
+def stage(spark, docs: DataFrame, sf_dir: str, shingle: int = 5, most: int = 2, wide: int = 14, least: float = 0.8) -> DataFrame:
     """Keeps one document, the first by doc_id, of each group of near-duplicates over five-word shingles.
 
     First all fingerprints within `most` bits are linked, which folds the large groups of copies. Then only one document
