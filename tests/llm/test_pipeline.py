@@ -36,3 +36,16 @@ def test_without_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark, docs_of):
+    from conftest_rows import ODD
+
+    docs = docs_of([*ODD, (30, 'a token = "abcdef0123" b', "a"), (31, "plain words " * 40, None)])
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = corpus_pipeline.written(stage(spark, docs, SF), "odd")
+        if name == "best_fit_packing":
+            assert docs.where("length > 1024").count() == 0
+        else:
+            assert docs.columns == columns and docs.count() > 0

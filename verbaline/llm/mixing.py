@@ -88,10 +88,11 @@ def mix(docs: DataFrame, *, size: Column | None = None, cycle: tuple[int, ...] =
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it (none to three), parts of a copy rounded up or down by a hash of doc_id."""
-    taken = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_t"), F.sum("size").alias("_s"))
-    taken = taken.select("_id", F.floor(F.col("_t") / F.greatest(F.col("_s"), F.lit(1)) + hash32(F.col("_id"), F.lit("part")) / F.lit(2**32)).cast("int").alias("_n")).where("_n > 0")
-    out = docs.join(taken, docs.doc_id.eqNullSafe(F.col("_id")))
-    return out.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_copy")).drop("_copy")
+    taken = mix(docs).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+    copies = F.floor(F.col("t") / F.greatest(F.col("s"), F.lit(1)) + hash32(F.col("_mix_id"), F.lit("part")) / F.lit(2**32)).cast("int")
+    taken = taken.select("_mix_id", copies.alias("_mix_copies")).where("_mix_copies > 0")
+    out = docs.join(taken, docs.doc_id.eqNullSafe(taken["_mix_id"]))
+    return out.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_DOCS) -> dict
                 types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["id", "quality", "word", "shape", "size"])
 
-    texts = docs.join(F.broadcast(known), docs.doc_id == known.id).select("id", "text", "quality")
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", "text", "quality")
     got = texts.mapInArrow(buckets, "id long, quality int, word binary, shape binary, size binary").collect()
     got.sort(key=lambda r: (r.id, bytes(r.word)))
     read = lambda x: np.frombuffer(bytes(x), "<i2").astype(np.int64)

@@ -144,8 +144,9 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 def similar(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs of doc_ids whose distinct shingles have a Jaccard similarity of `least` or more; only texts in a pair are read again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
-    sets = written(shingle_sets(docs.join(ids, docs.doc_id == F.col("i"), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"), shingle), "sets")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_i")).distinct()
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_i"), "left_semi").dropDuplicates(["doc_id"])
+    sets = written(shingle_sets(texts, shingle), "sets")
     x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     p = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
     return p.where(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
@@ -165,5 +166,5 @@ def stage(spark, docs: DataFrame, sf_dir: str, shingle: int = 5, most: int = 2,
     reps = written(first.join(sizes, F.col("id") == F.col("_i")).select("id", "fp", "n"), "reps")
     near = components(similar(docs, wide_links(reps, wide, least), shingle, least), "a", "b")
     gone = near.where("node <> component").select("node")
-    kept = first.join(gone, F.col("id") == F.col("node"), "left_anti").select("id")
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = first.join(gone, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("_simhash_kept_id"))
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_simhash_kept_id"]), "left_semi").dropDuplicates(["doc_id"])
