@@ -114,3 +114,18 @@ def test_stage_catches_copies_and_leaves_the_rest(spark, docs_of):
     assert len(missed) <= 10  # of 200; two bits alone would leave most
     odd = simhash.stage(spark, docs_of(ODD), "").collect()
     assert sorted((r.doc_id is None, r.doc_id) for r in odd if r.doc_id in (1, 2, 3, 4, 5)) == [(False, 1), (False, 4)]
+
+
+def test_stage_misses_no_pair_at_the_threshold(spark, docs_of):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(300):
+        text = [word() for _ in range(rnd.randrange(60, 200))]
+        copy = list(text)
+        while similarity(" ".join(text), " ".join(copy)) > 0.9:
+            copy[rnd.randrange(len(copy))] = word()
+        rows += [(2 * g, " ".join(text), "a"), (2 * g + 1, " ".join(copy), "a")]
+    need = {2 * g + 1 for g in range(300) if similarity(rows[2 * g][1], rows[2 * g + 1][1]) >= 0.8}
+    kept = {r.doc_id for r in simhash.stage(spark, docs_of(rows), "").collect()}
+    assert len(need) > 200 and not need & kept and kept == {r[0] for r in rows} - need

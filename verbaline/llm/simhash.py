@@ -8,7 +8,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbaline.llm.common import written
@@ -16,6 +16,8 @@ from verbaline.llm.components import components
 
 BITS, SEGMENTS, SEED = 64, 4, 42
 WIDTH = BITS // SEGMENTS
+#: Counts of shingles by hash, and the parts in which they are added up.
+BUCKETS, PARTS = 2**20, 64
 
 
 def fingerprint(text: str | None, n: int) -> bytes:
@@ -113,7 +115,7 @@ def wide_links(reps: DataFrame, most: int, least: float) -> DataFrame:
     at most one, and whose sizes allow a similarity of `least`.
 
     The chain of a pair with up to 7 differing bits begins with such a segment, so no pair of these is missed; of pairs with
-    more bits those are found that happen to have one. One side lists each segment's 17 neighbours, and the join is on
+    more bits those are found that happen to have one, so the stage does not use it. One side lists each segment's 17 neighbours, and the join is on
     segment and size class. Sizes differ by a factor of 1 / least at most, so a class of that width needs its neighbours only.
     """
     level = F.floor(F.log(F.col("n")) / F.lit(float(np.log(1 / least)))).cast("int")
@@ -129,42 +131,130 @@ def wide_links(reps: DataFrame, most: int, least: float) -> DataFrame:
     return a.join(b, same & sizes & (F.bit_count(x) <= most)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, set: distinct 64-bit hashes of a text's shingles."""
+def shingles(text: str | None, n: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, ascending; fewer words than a shingle are one."""
+    words = (text or "").encode().lower().split()
+    whole, count = b" ".join(words), max(1, len(words) - n + 1)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    pieces = map(whole.__getitem__, map(slice, (ends - lengths)[:count].tolist(), ends[n - 1 :].tolist())) if count > 1 else [whole]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, count)).view(np.int64)
+
+
+def frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of all texts fall in each of BUCKETS by their hash: a table of one size for any input."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            sets = []
-            for t in b.column(1):
-                w = (t.as_py() or "").encode().lower().split()
-                sets.append(sorted({xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle])) - 2**63 for i in range(max(1, len(w) - shingle + 1))}))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+            for t in b.column(0):
+                np.add.at(counts, shingles(t.as_py(), shingle) & (BUCKETS - 1), 1)
+        parts = counts.reshape(PARTS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
 
-    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, set array<long>")
+    def total(rows):
+        counts = sum(np.frombuffer(x, np.int64) for x in rows["counts"])
+        return rows.iloc[:1].assign(counts=[counts.tobytes()])
 
+    got = docs.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(total, "part int, counts binary").collect()
+    return np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(got)]) if got else np.zeros(BUCKETS, np.int64)
 
-def similar(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs of doc_ids whose distinct shingles have a Jaccard similarity of `least` or more; only texts in a pair are read again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_i")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_i"), "left_semi").dropDuplicates(["doc_id"])
-    sets = written(shingle_sets(texts, shingle), "sets")
-    x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+
+def prefixes(keyed: DataFrame, shingle: int, least: float) -> DataFrame:
+    """key, n (distinct shingles), token, pos: each text's first n - ceil(least * n) + 1 shingles, rare ones first.
+
+    Two sets at a Jaccard similarity of `least` share one of these under any order that is the same for all texts; the
+    order by frequency only keeps what many texts share out of the way, so that frequencies may be rough.
+    """
+    sent = keyed.sparkSession.sparkContext.broadcast(frequencies(keyed, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, len(big), 500):
+                b = big.slice(lo, 500)
+                key, size, token, pos = [], [], [], []
+                for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    h = shingles(t.as_py(), shingle)
+                    m = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1
+                    token.append(h[np.lexsort((h, sent.value[h & (BUCKETS - 1)]))[:m]])
+                    key.append(np.full(m, k, np.int64))
+                    size.append(np.full(m, len(h), np.int32))
+                    pos.append(np.arange(m, dtype=np.int32))
+                if token:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (key, size, token, pos)], ["key", "n", "token", "pos"])
+
+    return keyed.select("key", "text").mapInArrow(run, "key long, n int, token long, pos int")
+
+
+def shingle_sets(keyed: DataFrame, shingle: int) -> DataFrame:
+    """key, set: distinct 64-bit hashes of a text's shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle) for t in b.column(1)], pa.list_(pa.int64()))], ["key", "set"])
+
+    return keyed.select("key", "text").mapInArrow(run, "key long, set array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, ra, rb) of keys whose sets have a Jaccard similarity of `least` or more."""
+    x, y = sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), sets.select(F.col("key").alias("b"), F.col("set").alias("sb"))
     p = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
-    return p.where(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+    return p.where(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n")) - 1e-9).select("ra", "rb")
 
 
-def stage(spark, docs: DataFrame, sf_dir: str, shingle: int = 5, most: int = 2, wide: int = 14, least: float = 0.8) -> DataFrame:
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots (key, root) with the roots that edges (ra, rb) connect made one."""
+    near = components(edges, "ra", "rb")
+    return written(roots.join(near, roots.root == near.node, "left").select("key", F.coalesce("component", "root").alias("root")), "roots")
+
+
+def joined(keyed: DataFrame, roots: DataFrame, shingle: int, least: float) -> DataFrame:
+    """roots (key, root), made one for every pair of texts whose distinct shingles have a Jaccard similarity of `least`.
+
+    Candidates share a prefix shingle (see prefixes()), so none is missed. Each text is first compared with one text of
+    every shingle's list, twice with another choice; that joins large groups at a cost in proportion to their size. What
+    is left are pairs of different roots: their overlap is bounded by the prefix shingles in common and by what follows
+    the last of them, and those that may still reach it are compared as whole sets.
+    """
+    by = Window.partitionBy("token")
+    every = prefixes(keyed, shingle, least).withColumn("_lo", F.min("key").over(by)).withColumn("_hi", F.max("key").over(by))
+    shared = written(every.where("_lo <> _hi").select("key", "n", "token", "pos").distinct(), "shared")
+    ids = shared.select("key").distinct()
+    texts = keyed.join(ids, "key", "left_semi").dropDuplicates(["key"])
+    sets = written(shingle_sets(texts, shingle), "sets")
+    sizes = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9
+    for turn in range(2):
+        p = shared.join(roots, "key")
+        lead = p.groupBy("token").agg(F.min_by(F.struct("key", "n", "root"), F.xxhash64(F.lit(turn), "key")).alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        pairs = p.join(lead, "token").where("root <> l.root").select(F.col("l.key").alias("a"), F.col("key").alias("b"), F.col("l.root").alias("ra"), F.col("root").alias("rb"), F.col("l.n").alias("na"), F.col("n").alias("nb"))
+        roots = merged(roots, similar(pairs.where(sizes).select("a", "b", "ra", "rb").distinct(), sets, least))
+    p = shared.join(roots, "key")
+    several = p.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    p = written(p.join(several, "token", "left_semi"), "open")
+    a = p.select("token", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    b = p.select(F.col("token").alias("_t"), F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    met = a.join(b, (F.col("token") == F.col("_t")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sizes)
+    met = met.groupBy("a", "b", "ra", "rb", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    met = met.where(most >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6)
+    return merged(roots, similar(met.select("a", "b", "ra", "rb"), sets, least))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str, shingle: int = 5, most: int = 2, least: float = 0.8) -> DataFrame:
     """Keeps one document, the first by doc_id, of each group of near-duplicates over five-word shingles.
 
-    First all fingerprints within `most` bits are linked, which folds the large groups of copies. Then only one document
-    of each class goes on: those within `wide` bits are compared by their shingles themselves and linked at a similarity
-    of `least`. Empty texts are one class. Documents without doc_id are kept as one if their texts' class has no other.
+    First all fingerprints within `most` bits are linked, which folds the large groups of copies. Then all different texts
+    are compared by their shingles themselves, each pair at a similarity of `least` or more is linked. Empty texts are one
+    class. Texts are known by a 64-bit hash. Rows that share a doc_id, or have none, are kept as one.
     """
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n")
-    classes = near_duplicates(docs, shingle=shingle, most=most)
-    first = written(classes.where("doc_id <=> component_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "fp"), "first")
-    sizes = docs.select(F.col("doc_id").alias("_i"), words).groupBy("_i").agg(F.max("n").alias("n"))
-    reps = written(first.join(sizes, F.col("id") == F.col("_i")).select("id", "fp", "n"), "reps")
-    near = components(similar(docs, wide_links(reps, wide, least), shingle, least), "a", "b")
-    gone = near.where("node <> component").select("node")
-    kept = first.join(gone, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("_simhash_kept_id"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_simhash_kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    keyed = docs.select(key, "text")
+    rows = docs.select(F.struct("doc_id", key, F.xxhash64(*docs.columns).alias("row")).alias("doc_id"), "text")
+    prints = written(fingerprints(rows, shingle=shingle).select("doc_id.*", "fp"), "prints")
+    classes = prints.select("fp").distinct()
+    near = components(links(classes, most), "a", "b")
+    to = classes.join(near, classes.fp == near.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
+    roots = written(prints.select("key", "fp").distinct().join(to, "fp").select("key", "root"), "roots")
+    roots = joined(keyed, roots, shingle, least)
+    first = prints.join(roots, "key").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "row")).alias("k"))
+    kept = first.select(F.col("k.doc_id").alias("_kept_id"))
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates(["doc_id"])
