@@ -129,3 +129,11 @@ def test_stage_misses_no_pair_at_the_threshold(spark, docs_of):
     need = {2 * g + 1 for g in range(300) if similarity(rows[2 * g][1], rows[2 * g + 1][1]) >= 0.8}
     kept = {r.doc_id for r in simhash.stage(spark, docs_of(rows), "").collect()}
     assert len(need) > 200 and not need & kept and kept == {r[0] for r in rows} - need
+
+
+def test_stage_tells_equal_and_null_ids_apart(spark, docs_of):
+    rnd = random.Random(9)
+    text = [" ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(40)) for _ in range(6)]
+    rows = [(1, text[0], "a"), (1, text[1], "a"), (1, text[1], "a"), (2, text[2], "a"), (None, text[2], "a"), (None, text[3], "a"), (None, text[4], "a"), (None, text[4], "a"), (None, text[5], "a")]
+    out = sorted((r.text, r.doc_id) for r in simhash.stage(spark, docs_of(rows), "").collect())
+    assert out == sorted([(text[0], 1), (text[1], 1), (text[2], 2), *((t, None) for t in text[3:])])

@@ -244,7 +244,8 @@ def stage(spark, docs: DataFrame, sf_dir: str, shingle: int = 5, most: int = 2,
 
     First all fingerprints within `most` bits are linked, which folds the large groups of copies. Then all different texts
     are compared by their shingles themselves, each pair at a similarity of `least` or more is linked. Empty texts are one
-    class. Texts are known by a 64-bit hash. Rows that share a doc_id, or have none, are kept as one.
+    class. The first document is decided by the doc_id, last if null, then by hashes of the text and of all columns; so
+    documents that share a doc_id, or have none, are told apart by their texts. Texts are known by a 64-bit hash.
     """
     key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
     keyed = docs.select(key, "text")
@@ -256,5 +257,7 @@ def stage(spark, docs: DataFrame, sf_dir: str, shingle: int = 5, most: int = 2,
     roots = written(prints.select("key", "fp").distinct().join(to, "fp").select("key", "root"), "roots")
     roots = joined(keyed, roots, shingle, least)
     first = prints.join(roots, "key").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "row")).alias("k"))
-    kept = first.select(F.col("k.doc_id").alias("_kept_id"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = first.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.key").alias("_kept_key"), F.col("k.row").alias("_kept_row"))
+    d = docs.withColumn("_key", key).withColumn("_row", F.xxhash64(*docs.columns))
+    same = (F.col("_key") == F.col("_kept_key")) & (F.col("_row") == F.col("_kept_row")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
+    return d.join(kept, same, "left_semi").dropDuplicates(["_key"]).drop("_key", "_row")
