@@ -268,3 +268,20 @@ def test_secret_rows(spark, docs_of):
     assert secrets.find(docs).count() == len(ODD) + 2 and secrets.find(docs_of([])).count() == 0
     out = {(r.doc_id, r.source): r for r in secrets.stage(spark, docs, "").collect()}
     assert out[(20, "a")].text == 'my [SECRET]" end' and out[(20, "a")].n_chars == len('my [SECRET]" end') and out[(None, "a")].text == "[SECRET]" and out[(1, "a")].text is None
+
+
+def test_secrets_threshold_keeps_recall():
+    rnd = random.Random(2)
+    word = lambda n, a: "".join(rnd.choice(a) for _ in range(n))
+    made = []
+    for i in range(1200):  # a third of the harmless runs look like the true ones
+        s = f"some text before {word(30, '0123456789abcdef') if i % 2 or i % 3 == 0 else word(30, '0123456789')} and after"
+        made.append((secrets.windows(s, 17, len(s) - 10), bool(i % 2)))
+    model = secrets.train(made[:800])
+    added = secrets.decide([[{"start": 0, "end": 5, "base": False, "windows": w}] for w, _ in made[800:]], model)
+    assert np.mean([bool(a) for a, (_, y) in zip(added, made[800:], strict=True) if y]) > 0.9
+
+
+def test_secrets_candidates():
+    text = "the hunter22 and kQzRtWvBnMxY and abcdefghijklmnopqrst and plain Words api_key ---------------------"
+    assert [text[a:b] for a, b in secrets.candidates(text)] == ["hunter22", "kQzRtWvBnMxY", "abcdefghijklmnopqrst"]
