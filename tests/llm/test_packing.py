@@ -62,3 +62,12 @@ def test_odd_rows(docs_of):
     places = {(r.sequence_id, r.offset) for r in p}
     assert len(places) == len(p)
     assert packing.pack(packing.pieces(docs_of([]))).count() == 0
+
+
+def test_added_token(spark, docs_of):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>\n<|endoftext|><|endoftext|>é  \n", "<|endoftext| >", " <|endoftext|" + "x" * 3000 + "<|endoftext|>", None]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {}
+    for r in packing.pieces(docs_of([(i, t, "a") for i, t in enumerate(texts)])).orderBy("doc_id", "piece").collect():
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert got == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from verbaline.llm.common import hash32, hash_bucket, ranked, written
 
 CAPACITY, END = 1024, 2
+#: The added token of byte_bpe_50k.json.
+ADDED = {"<|endoftext|>": 50256}
 #: Pieces longer than CAPACITY / SMALL are grouped; the rest are best-fitted afterwards.
 SMALL = 8
 #: Groups of equal cardinality, so distinct rounded sizes.
@@ -23,13 +25,18 @@ GROUPS = 160
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def encoder(ranks_path: str, pattern: str):
-    """The byte-level BPE of byte_bpe_50k.json; special strings in a text are ordinary text."""
+def encoder(ranks_path: str, pattern: str, added: dict[str, int] | None = None):
+    """The byte-level BPE of byte_bpe_50k.json; special strings in a text are ordinary text, except those of added in ids_of()."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+
+
+def ids_of(bpe, text: str) -> list[int]:
+    """The ids of text; the added token is one id, as tokenizers has it by default."""
+    return bpe.encode(text, allowed_special="all") if any(a in text for a in ADDED) else bpe.encode_ordinary(text)
 
 
 def pieces(docs: DataFrame, *, ranks_path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
@@ -42,11 +49,11 @@ def pieces(docs: DataFrame, *, ranks_path: str | None = None, capacity: int = CA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode = encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+        bpe = encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ADDED)
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), END], "<u4")
+                ids = np.array([*ids_of(bpe, text.as_py() or ""), END], "<u4")
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids), capacity), len(ids)]
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
