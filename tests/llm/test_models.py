@@ -132,48 +132,88 @@ def test_language_labels_do_not_depend_on_company():
 
 def small_model(seed=0):
     rnd = random.Random(seed)
-    samples = [np.array([rnd.randrange(50) for _ in range(rnd.randrange(1, 40))]) for _ in range(30)]
+    samples = [np.array([rnd.randrange(1200) for _ in range(rnd.randrange(1, 140))], np.uint16) for _ in range(30)]
     counts = np.bincount(np.concatenate(samples), minlength=lm_score.IDS).astype(float)
     counts[lm_score.EDGE] = 30
-    return lm_score.train(counts, samples, steps=20), samples
+    layout = lm_score.Layout(counts)
+    p = lm_score.new_model(layout)
+    for r in range(3):
+        p, _ = lm_score.train(p, layout, samples, part=(r, 3))
+    return p, layout, samples
 
 
 def test_lm_gradients():
-    p = {k: v.astype(np.float64) for k, v in lm_score.new_model(60).items()}
-    rng = np.random.default_rng(0)
-    x, y, _ = lm_score.arrange([rng.integers(0, 60, n) for n in (3, 20, 0)], 59)
-    checked(lambda: lm_score.gradients(p, x, y)[0], p, lm_score.gradients(p, x, y)[1])
-
-
-def test_lm_scores_each_token_once_and_by_its_past():
-    model, samples = small_model()
-    got = lm_score.Scorer(model).scores([*samples, np.array([], int)])
-    p, of = model["p"], model["of"]
-    edge = int(of[lm_score.EDGE])
-    for text, s in zip([*samples, np.array([], int)], got, strict=True):
-        c, total = [edge, *of[text]], 0.0
-        targets = [*of[text], edge]
-        for j, t in enumerate(targets):
-            first = j // lm_score.BLOCK * lm_score.BLOCK
-            seen = c[max(0, first - lm_score.BLOCK) : j + 1]
-            x = np.full((1, 2 * lm_score.BLOCK), -1)
-            at = lm_score.BLOCK + j - first
-            x[0, at - len(seen) + 1 : at + 1] = seen
-            z = lm_score.attend(p, x)["z"][0, j - first][None]
-            total += float(lm_score.log_likelihood(p, z, np.array([t]))[0][0]) / math.log(10)
-        total += model["share"][text].sum() + model["share"][lm_score.EDGE]
-        assert abs(total - s) < 1e-3
+    _, layout, samples = small_model()
+    p = {k: v.astype(np.float64) for k, v in lm_score.new_model(layout).items()}
+    p["w"] = np.random.default_rng(1).normal(size=p["w"].shape) * 0.1
+    x, y, _, begins = lm_score.blocks([samples[0], np.array([], np.uint16), samples[1][:40]])
+    x = lm_score.with_past(x, begins, np.arange(len(x)))
+    grads = lm_score.gradients(p, layout, x, y)[1]
+    for k in ("e", "w"):
+        at, g = grads[k]
+        grads[k] = np.zeros_like(p[k])
+        grads[k][at] = g
+    checked(lambda: lm_score.gradients(p, layout, x, y)[0], p, grads)
+
+
+def plain_lm(p, layout, text):
+    """log10 of a text's probability, one token at a time."""
+    seen, total = [lm_score.EDGE, *text], 0.0
+    for j, t in enumerate([*text, lm_score.EDGE]):
+        first = j // lm_score.BLOCK * lm_score.BLOCK
+        past = seen[max(0, first - lm_score.BLOCK) : j + 1]
+        x = np.full((1, 2 * lm_score.BLOCK), -1)
+        at = lm_score.BLOCK + j - first
+        x[0, at - len(past) + 1 : at + 1] = past
+        z = lm_score.attend(p, x)["z"][0, j - first][None]
+        total += float(lm_score.log_likelihood(p, layout, z, np.array([t]))[0][0]) / math.log(10)
+    return total
+
+
+def test_lm_scores_each_token_once_and_by_its_past(monkeypatch):
+    p, layout, samples = small_model()
+    texts = [*samples, np.array([], np.uint16)]
+    want = [plain_lm(p, layout, t) for t in texts]
+    for together in (512, 3):  # windows that do and do not go through together with the ones before them
+        monkeypatch.setattr(lm_score, "TOGETHER", together)
+        monkeypatch.setattr(lm_score, "LAID", together * 10)
+        assert np.allclose(lm_score.Scorer(p, layout).scores(texts), want, atol=2e-3)
 
 
 def test_lm_is_a_distribution():
-    model, samples = small_model()
-    p, n = model["p"], len(model["p"]["e"])
-    x, _, _ = lm_score.arrange([model["of"][samples[0]]], int(model["of"][lm_score.EDGE]))
-    z = lm_score.attend(p, x)["z"][0, :1]
-    total = sum(math.exp(lm_score.log_likelihood(p, z, np.array([c]))[0][0]) for c in range(-(-n // lm_score.GROUPS) * lm_score.GROUPS))
-    assert abs(total - 1) < 1e-4
-    sums = np.bincount(model["of"], 10.0 ** model["share"], n)
-    assert np.allclose(sums[np.bincount(model["of"], minlength=n) > 0], 1)
+    p, layout, samples = small_model()
+    x, _, _, begins = lm_score.blocks([samples[0]])
+    z = lm_score.attend(p, lm_score.with_past(x, begins, np.arange(len(x))))["z"][0, :1]
+    ids = np.arange(lm_score.IDS)
+    assert abs(np.exp(lm_score.log_likelihood(p, layout, z.repeat(len(ids), axis=0), ids)[0].astype(float)).sum() - 1) < 1e-3
+
+
+def test_lm_mean_of_shards_weighs_rows():
+    import pandas as pd
+
+    row = lambda v, w: {"name": 0, "lo": 0, "values": np.array(v, np.float32).tobytes(), "weight": np.array(w, np.float32).tobytes()}
+    got = lm_score.averaged(pd.DataFrame([row([1, 2, 3, 4], [1, 0]), row([5, 6, 7, 8], [3, 2])]))
+    assert np.frombuffer(got["values"].iloc[0], np.float32).tolist() == [4, 5, 7, 8]
+
+
+def test_lm_words_as_they_are_alone(spark):
+    import public_tokenizers
+
+    from verbaline.llm.packing import encoder
+
+    bpe = encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    starts = np.array([bpe.decode_single_token_bytes(i)[:1] == b" " for i in range(bpe.n_vocab)])
+    words = ["\u00a0", "\u00a0\u00a0", "a\u00a0b", "it's", "'s", "\u2003x", "12", "\x1c", "\x85", "é\u0301", "a", "\u3000", "#!"]
+    ids, first, size = lm_score.word_ids(pa.array(words), bpe.encode_ordinary, starts)
+    assert [ids[f : f + n].tolist() for f, n in zip(first, size, strict=True)] == [bpe.encode_ordinary(" " + w) for w in words]
+    ids, first, size = lm_score.word_ids(pa.array(words[:2]), bpe.encode_ordinary, starts)
+    assert len(first) == 2 and len(lm_score.word_ids(pa.array([], pa.string()), bpe.encode_ordinary, starts)[0]) == 0
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    got = lm_score.op2(spark, SF).toPandas()
+    held = got[got.held_out]
+    assert len(got) == 1000 and held.score.sum() > held.base_score.sum() + 0.01 * held.n_tokens.sum()
 
 
 BASE = r"""
@@ -192,7 +232,7 @@ def test_lm_base_equals_sql(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "SLICE_BYTES", 50_000)
     monkeypatch.setattr(lm_score, "WORD_ROW", 700)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = lm_score.score(docs.withColumn("text", F.when(F.col("doc_id") != 7, F.col("text"))), folds=3, held=0, steps=5).toPandas().sort_values("doc_id")
+    got = lm_score.score(docs.withColumn("text", F.when(F.col("doc_id") != 7, F.col("text"))), folds=3, held=0, rounds=1).toPandas().sort_values("doc_id")
     c = duckdb.connect()
     c.sql("CREATE VIEW docs AS SELECT doc_id, CASE WHEN doc_id <> 7 THEN text END AS text FROM '/root/testdata/sf0.001/documents.parquet'")
     want = c.sql(BASE).df().sort_values("doc_id")
@@ -202,10 +242,10 @@ def test_lm_base_equals_sql(spark, monkeypatch):
 
 
 def test_lm_of_odd_rows(docs_of):
-    rows = lm_score.score(docs_of(ODD), steps=3).collect()
+    rows = lm_score.score(docs_of([*ODD, (11, "\u00a0 \u00a0\u00a0", "a")]), rounds=1).collect()
     by = {r.doc_id: r for r in rows}
-    assert len(rows) == len(ODD) and by[1].n_tokens == by[2].n_tokens == by[3].n_tokens == 1 and by[1].score == by[2].score and by[6].n_tokens == 30001
-    assert all(r.score < 0 and math.isfinite(r.score) for r in rows) and lm_score.score(docs_of([]), steps=1).count() == 0
+    assert len(rows) == len(ODD) + 1 and by[11].n_tokens == 3 and by[1].n_tokens == by[2].n_tokens == by[3].n_tokens == 1 and by[1].score == by[2].score and by[6].n_tokens == 30001
+    assert all(r.score < 0 and math.isfinite(r.score) for r in rows) and lm_score.score(docs_of([]), rounds=1).count() == 0
 
 
 # Secrets

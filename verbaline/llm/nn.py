@@ -17,6 +17,13 @@ class Adam:
         self.t += 1
         rate = self.rate * scale * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, g in grads.items():
+            if isinstance(g, tuple):  # rows that a step touches, and their gradients; the others stay as they are
+                at, g = g
+                m, v = self.m[k][at], self.v[k][at]
+                m, v = m + 0.1 * (g - m), v + 0.001 * (g * g - v)
+                self.m[k][at], self.v[k][at] = m, v
+                self.p[k][at] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+                continue
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])
             self.p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
