@@ -230,7 +230,7 @@ def test_lm_base_equals_sql(spark, monkeypatch):
 
     monkeypatch.setattr(lm_score, "fold", lambda c, n: c % n)
     monkeypatch.setattr(lm_score, "SLICE_BYTES", 50_000)
-    monkeypatch.setattr(lm_score, "WORD_ROW", 700)
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 100_000)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = lm_score.score(docs.withColumn("text", F.when(F.col("doc_id") != 7, F.col("text"))), folds=3, held=0, rounds=1).toPandas().sort_values("doc_id")
     c = duckdb.connect()
