@@ -16,8 +16,8 @@ from verbaline.llm.nn import Adam, normal, sigmoid, summed
 
 #: Words in a passage, buckets of words and of their shapes, width of a passage's vector and of its attention.
 PASSAGE, WORDS, SHAPES, WIDTH, GATE = 64, 2048, 1024, 16, 8
-#: Labelled documents learned from at most, passages of each at most (evenly spaced), passes, documents in a step.
-TRAIN_DOCS, TRAIN_PASSAGES, EPOCHS, STEP = 4000, 24, 8, 32
+#: Labelled documents learned from at most, with all their passages; passes over them, documents in a step.
+TRAIN_DOCS, EPOCHS, STEP = 3000, 8, 32
 THRESHOLD = 0.3
 
 
@@ -109,37 +109,31 @@ def learn(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_DOCS) -> dict
     """The model from at most `most` labelled documents, the first by a hash of doc_id.
 
     labels: doc_id, quality; null qualities are left out, a document with several takes the smallest. Only the chosen
-    ids, a bounded table, meet the texts; the executors send back buckets of at most TRAIN_PASSAGES passages of each.
+    ids, a bounded table, meet the texts; of several texts with one doc_id the first in order is read. The executors send
+    back the buckets of all words of each chosen text.
     """
     y = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     y = y.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     y = written(y.withColumn("h", hash32(F.col("doc_id"))), "labels")
     chosen = first_by_hash(y, "h", most, y.count(), "doc_id").select(F.col("doc_id").alias("id"), "quality").collect()
-    known = docs.sparkSession.createDataFrame(chosen, "id long, quality int") if chosen else None
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known = docs.sparkSession.createDataFrame(chosen, f"id {kind}, quality int") if chosen else None
     if known is None:
         return None
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             word, shape, counts = features(b.column(1))
-            ends = np.cumsum(counts)
-            rows: list[tuple] = []
-            for i, q in enumerate(b.column(2).to_pylist()):
-                n = -(-int(counts[i]) // PASSAGE)
-                pick = sorted({k * n // min(n, TRAIN_PASSAGES) for k in range(min(n, TRAIN_PASSAGES))})
-                lo = int(ends[i] - counts[i])
-                at = [(lo + k * PASSAGE, min(lo + (k + 1) * PASSAGE, int(ends[i]))) for k in pick]
-                join = lambda v: b"".join(v[s:e].astype("<i2").tobytes() for s, e in at)  # noqa: B023, E731
-                rows.append((b.column(0)[i].as_py(), q, join(word), join(shape), np.array([e - s for s, e in at], "<i2").tobytes()))
-            if rows:
-                types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["id", "quality", "word", "shape", "size"])
-
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", "text", "quality")
-    got = texts.mapInArrow(buckets, "id long, quality int, word binary, shape binary, size binary").collect()
-    got.sort(key=lambda r: (r.id, bytes(r.word)))
+            cuts = np.r_[0, np.cumsum(counts)]
+            raw = lambda v: pa.array([v[lo:hi].astype("<i2").tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), raw(word), raw(shape)], ["id", "quality", "word", "shape"])
+
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).groupBy("id", "quality").agg(F.min("text").alias("text")).select("id", "text", "quality")
+    got = texts.mapInArrow(buckets, f"id {kind}, quality int, word binary, shape binary").collect()
+    got.sort(key=lambda r: r.id)
     read = lambda x: np.frombuffer(bytes(x), "<i2").astype(np.int64)
-    return train([(read(r.word), read(r.shape), read(r.size)) for r in got], np.array([float(r.quality > 0) for r in got], np.float32))
+    sizes = lambda n: np.diff(np.r_[np.arange(0, n, PASSAGE), n])
+    return train([(read(r.word), read(r.shape), sizes(len(r.word) // 2)) for r in got], np.array([float(r.quality > 0) for r in got], np.float32))
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -175,7 +169,11 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects (score under the threshold)."""
+    """Drops the documents that the classifier rejects (score under the threshold).
+
+    Null, empty and blank texts have the score of no passage, one for all. Rows are judged one by one, so equal rows stay or
+    go together. Without labels nothing is rejected. Empty table: no rows. All columns pass through.
+    """
     model = learn(docs.where(fold(F.col("doc_id"), 5) != 0), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     sent = spark.sparkContext.broadcast(model)
 
