@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbaline.llm.common import hash32, hash_bucket, ranked, written
+from verbaline.llm.common import hash32, hash_bucket, ranked, sliced, written
 
 CAPACITY, END = 1024, 2
 #: The added token of byte_bpe_50k.json.
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, *, ranks_path: str | None = None, capacity: int = CA
         import public_tokenizers
 
         bpe = encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ADDED)
-        for b in batches:
+        for b in sliced(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = np.array([*ids_of(bpe, text.as_py() or ""), END], "<u4")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbaline.llm.common import first_by_hash, fold, hash32, written
+from verbaline.llm.common import first_by_hash, fold, hash32, sliced, written
 from verbaline.llm.nn import Adam, normal, sigmoid, summed
 
 #: Words in a passage, buckets of words and of their shapes, width of a passage's vector and of its attention.
@@ -122,7 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_DOCS) -> dict
         return None
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             word, shape, counts = features(b.column(1))
             cuts = np.r_[0, np.cumsum(counts)]
             raw = lambda v: pa.array([v[lo:hi].astype("<i2").tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)], pa.binary())  # noqa: B023, E731
@@ -145,16 +145,14 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, len(b), 2000):
-                part = b.slice(lo, 2000)
-                if sent.value is None:
-                    s = np.full(len(part), 0.5)
-                else:
-                    word, shape, counts = features(part.column(1))
-                    start, owner = passages(counts)
-                    s = forward(sent.value, word, shape, start, owner, len(part))["score"].astype(np.float64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], ["doc_id", "score"])
+        for part in sliced(batches):
+            if sent.value is None:
+                s = np.full(len(part), 0.5)
+            else:
+                word, shape, counts = features(part.column(1))
+                start, owner = passages(counts)
+                s = forward(sent.value, word, shape, start, owner, len(part))["score"].astype(np.float64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -177,16 +175,14 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(docs.where(fold(F.col("doc_id"), 5) != 0), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     sent = spark.sparkContext.broadcast(model)
 
-    def accept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in texts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
             if sent.value is None:
-                yield pd.Series(True, index=t.index)
+                yield b
                 continue
-            parts = []
-            for lo in range(0, len(t), 2000):
-                word, shape, counts = features(pa.array(t.iloc[lo : lo + 2000], pa.string(), from_pandas=True))
-                start, owner = passages(counts)
-                parts.append(forward(sent.value, word, shape, start, owner, len(counts))["score"] >= THRESHOLD)
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
+            word, shape, counts = features(b.column(at).cast(pa.string()))
+            start, owner = passages(counts)
+            yield b.filter(pa.array(forward(sent.value, word, shape, start, owner, len(counts))["score"] >= THRESHOLD))
 
-    return docs.where(F.pandas_udf(accept, "boolean")("text"))
+    at = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)

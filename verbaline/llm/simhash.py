@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbaline.llm.common import written
+from verbaline.llm.common import sliced, written
 from verbaline.llm.components import components
 
 BITS, SEGMENTS, SEED = 64, 4, 42
@@ -42,7 +42,7 @@ def fingerprint(text: str | None, n: int) -> bytes:
 def fingerprints(docs: DataFrame, *, shingle: int) -> DataFrame:
     """doc_id, fp (long with the fingerprint's bits) for every row of docs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             raw = b"".join(fingerprint(t.as_py(), shingle) for t in b.column(1))
             fp = np.frombuffer(raw, ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
@@ -168,19 +168,17 @@ def prefixes(keyed: DataFrame, shingle: int, least: float) -> DataFrame:
     sent = keyed.sparkSession.sparkContext.broadcast(frequencies(keyed, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for lo in range(0, len(big), 500):
-                b = big.slice(lo, 500)
-                key, size, token, pos = [], [], [], []
-                for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    h = shingles(t.as_py(), shingle)
-                    m = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1
-                    token.append(h[np.lexsort((h, sent.value[h & (BUCKETS - 1)]))[:m]])
-                    key.append(np.full(m, k, np.int64))
-                    size.append(np.full(m, len(h), np.int32))
-                    pos.append(np.arange(m, dtype=np.int32))
-                if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (key, size, token, pos)], ["key", "n", "token", "pos"])
+        for b in sliced(batches):
+            key, size, token, pos = [], [], [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = shingles(t.as_py(), shingle)
+                m = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1
+                token.append(h[np.lexsort((h, sent.value[h & (BUCKETS - 1)]))[:m]])
+                key.append(np.full(m, k, np.int64))
+                size.append(np.full(m, len(h), np.int32))
+                pos.append(np.arange(m, dtype=np.int32))
+            if token:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (key, size, token, pos)], ["key", "n", "token", "pos"])
 
     return keyed.select("key", "text").mapInArrow(run, "key long, n int, token long, pos int")
 
@@ -188,7 +186,7 @@ def prefixes(keyed: DataFrame, shingle: int, least: float) -> DataFrame:
 def shingle_sets(keyed: DataFrame, shingle: int) -> DataFrame:
     """key, set: distinct 64-bit hashes of a text's shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle) for t in b.column(1)], pa.list_(pa.int64()))], ["key", "set"])
 
     return keyed.select("key", "text").mapInArrow(run, "key long, set array<long>")
