@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from verbaline.functions.text import PY_SPACE
@@ -38,6 +39,7 @@ def prefix(currency: bool = False) -> re.Pattern:
     An empty entry stands among the quotes and matches anywhere, so by default nothing after it is ever reached: the last
     quotes and all currency signs are no prefixes. currency=True leaves the empty entry out.
     """
+    # Fixed values, here and in suffix() and infix(): what may be peeled off or cut at.
     entries = [*escaped(["§", "%", "=", "—", "–"]), r"\+(?![0-9])", *escaped(PUNCTS), *ELLIPSIS]
     entries += escaped([q for q in QUOTES if q] + CURRENCY) if currency else escaped(QUOTES[: QUOTES.index("")])
     return re.compile(f"(?:{'|'.join(entries)})")
@@ -120,13 +122,39 @@ MEMO = 200_000
 
 
 def rule_tokens_udf(currency: bool = False):
-    """Column function text -> spans. A task tokenises each distinct chunk once, so nothing is shuffled to share work."""
-    def run(parts):
+    """Column function text -> spans, as flat Arrow arrays. A task tokenises each distinct chunk once, so nothing is shuffled
+    to share work. Null text: null; empty text: no spans."""
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo: dict[str, list[int]] = {}
-        for s in parts:
+        for part in parts:
             if len(memo) > MEMO:
                 memo = {}
-            yield pd.Series([None if t is None else [{"start": a, "end": b, "spacy": c} for a, b, c in tokenize(t, memo, currency)] for t in s])
+            got = [None if t is None else tokenize(t, memo, currency) for t in part.to_pylist()]
+            start, end, spacy = zip(*(x for g in got if g for x in g), strict=True) if any(got) else ((), (), ())
+            spans = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(spacy, pa.bool_())], ["start", "end", "spacy"])
+            ends = np.cumsum([len(g or ()) for g in got])
+            offsets = pa.array(np.r_[0, ends].astype(np.int32), mask=np.array([*(g is None for g in got), False]))
+            yield pa.ListArray.from_arrays(offsets, spans)
 
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, SPANS)
+    return F.arrow_udf(run, SPANS)
+
+
+def packed_udf(currency: bool = False):
+    """Column function text -> the packed document: byte length, UTF-8 text, token count, then start byte, end byte and flag of
+    each token; all 32 bits, least byte first. Null text: null."""
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo: dict[str, list[int]] = {}
+        for part in parts:
+            if len(memo) > MEMO:
+                memo = {}
+            yield pa.array([None if t is None else packed(t, tokenize(t, memo, currency)) for t in part.to_pylist()], pa.binary())
+
+    return F.arrow_udf(run, "binary")
+
+
+def packed(text: str, spans: list[tuple[int, int, bool]]) -> bytes:
+    raw, table = text.encode(), np.array(spans, np.int64).reshape(-1, 3)
+    if len(raw) != len(text):  # the byte at which each code point begins: all but the bytes 10xxxxxx
+        begins = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        table[:, :2] = np.r_[begins, len(raw)][table[:, :2]]
+    return len(raw).to_bytes(4, "little") + raw + len(table).to_bytes(4, "little") + table.astype("<u4").tobytes()

@@ -23,12 +23,6 @@ def runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(RUN), 0)
 
 
-def le32(x: Column) -> Column:
-    """A non-negative number below 2^32 as four bytes, least first."""
-    h = F.lpad(F.hex(x.cast("long")), 8, "0")
-    return F.unhex(F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1))))
-
-
 def html(text: Column) -> Column:
     for c, e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(c), F.lit(e))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbaline.functions.rules import rule_tokens_udf
-from verbaline.functions.text import le32, runs, web_tokens
+from verbaline.functions.rules import packed_udf, rule_tokens_udf
+from verbaline.functions.text import SPACE, runs, web_tokens
 
 
 def web_token_table(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -21,7 +21,7 @@ def run_table(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     flat = r.select(*keys, F.inline(step))
     before = Window.partitionBy(*keys).orderBy("run_idx").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")
-    return flat.select(*keys, "run_idx", start.alias("start"), "run", F.col("run").rlike(r"^[\x09-\x0D\x20\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]").alias("is_space"))
+    return flat.select(*keys, "run_idx", start.alias("start"), "run", F.col("run").rlike(f"^[{SPACE}]").alias("is_space"))
 
 
 def rule_docs(df: DataFrame, *keys: str, text: str = "text", currency: bool = False) -> DataFrame:
@@ -50,16 +50,6 @@ def byte_offsets(tokens: DataFrame) -> DataFrame:
 
 
 def packed(df: DataFrame, *keys: str, text: str = "text", currency: bool = False) -> DataFrame:
-    """keys, buffer: byte length, UTF-8 text, token count, then start byte, end byte and flag of each token; all 32 bits,
-    least byte first. Null text: null."""
-    d = rule_docs(df, *keys, text=text, currency=currency)
-    flat = F.transform("tokens", lambda t: F.struct(t["spacy"].alias("spacy"), F.octet_length(piece(F.col("text"), t["start"], t["end"])).alias("n")))
-    rows = d.select(*keys, "text", F.posexplode_outer(flat).alias("i", "t"))
-    before = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.col("t.n") + F.col("t.spacy").cast("int")).over(before), F.lit(0))
-    entry = F.when(F.col("i").isNotNull(), F.concat(le32(at), le32(at + F.col("t.n")), le32(F.col("t.spacy").cast("int"))))
-    rows = rows.select(*keys, "i", F.when(F.coalesce(F.col("i"), F.lit(0)) == 0, F.col("text")).alias("text"), entry.alias("entry"))
-    body = F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", F.hex("entry").alias("e")))))
-    g = rows.groupBy(*keys).agg(F.max("text").alias("text"), F.count("i").alias("k"), F.array_join(F.transform(body, lambda x: x["e"]), "").alias("body"))
-    raw = F.encode("text", "UTF-8")
-    return g.select(*keys, F.concat(le32(F.octet_length(raw)), raw, le32(F.col("k")), F.unhex("body")).alias("buffer"))
+    """keys, buffer: one packed document per row of df (see packed_udf), so rows with equal keys stay apart. Null text: null;
+    empty text: a buffer without tokens; empty table: no rows."""
+    return df.select(*keys, packed_udf(currency)(F.col(text)).alias("buffer"))

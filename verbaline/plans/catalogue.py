@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from verbaline.functions import hashing, registry, tags
 from verbaline.functions.rules import peel
+from verbaline.functions.text import SPACE
 from verbaline.operators import cnn, features, tokens, vocab
 from verbaline.plans import oracle
 from verbaline.sources import conllu, vocab_json
@@ -111,7 +112,7 @@ def rule_token_counts(spark, sf_dir):
 def affix_peel(spark, sf_dir):
     """Distinct chunks with what is peeled off them."""
     d = table(spark, sf_dir, "documents")
-    chunks = d.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x09-\x0D\x20\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"), 0)).alias("chunk")).distinct()
+    chunks = d.select(F.explode(F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+"), 0)).alias("chunk")).distinct()
 
     def run(parts):
         for p in parts:
@@ -249,13 +250,25 @@ def whole_number_net(words: int) -> dict[str, np.ndarray]:
     }
 
 
-def _scored(spark, sf_dir):
-    """doc_id, tok_idx, word_id, label (-1 where masked), logits of the whole-number net."""
+def _labelled(spark, sf_dir):
+    """doc_id, word_ids, labels (-1 where masked) of each document, and the whole-number net."""
     t = web(spark, sf_dir)
     v = vocab.word_vocab(t)
     net = whole_number_net(v.count())
     label = F.when(F.col("tok_idx") % 10 == 9, -1).otherwise((F.col("tok_idx") + F.length("token")) % 5).cast("long")
-    s = _sentences(vocab.encode(t, v).withColumn("label", label), "doc_id", "word_id", "label")
+    return _sentences(vocab.encode(t, v).withColumn("label", label), "doc_id", "word_id", "label"), net
+
+
+def _predicted(spark, sf_dir):
+    """doc_id, tok_idx, label, pred: the tag is chosen beside the net, so that one number a token comes back."""
+    s, net = _labelled(spark, sf_dir)
+    s = s.withColumn("preds", cnn.first_best_udf(spark, net)(F.col("word_ids")))
+    return s.select("doc_id", F.posexplode(F.arrays_zip("labels", "preds")).alias("tok_idx", "x")).select("doc_id", F.col("tok_idx").cast("long"), F.col("x.labels").alias("label"), F.col("x.preds").alias("pred"))
+
+
+def _scored(spark, sf_dir):
+    """doc_id, tok_idx, word_id, label, logits of the whole-number net."""
+    s, net = _labelled(spark, sf_dir)
     s = s.withColumn("logits", cnn.logits_udf(spark, net)(F.col("word_ids")))
     return s.select("doc_id", F.posexplode(F.arrays_zip("word_ids", "labels", "logits")).alias("tok_idx", "x")).select("doc_id", F.col("tok_idx").cast("long"), F.col("x.word_ids").alias("word_id"), F.col("x.labels").alias("label"), F.col("x.logits").alias("logits"))
 
@@ -265,17 +278,17 @@ def conv_int_logits(spark, sf_dir):
 
 
 def argmax_first(spark, sf_dir):
-    return _scored(spark, sf_dir).select("doc_id", "tok_idx", vocab.argmax(F.col("logits")).alias("tag_id"))
+    return _predicted(spark, sf_dir).select("doc_id", "tok_idx", F.col("pred").alias("tag_id"))
 
 
 def masked_accuracy(spark, sf_dir):
-    s = _scored(spark, sf_dir).select("doc_id", "label", vocab.argmax(F.col("logits")).alias("pred"))
+    s = _predicted(spark, sf_dir)
     return cnn.accuracy(s, "pred", "label", "doc_id").select("doc_id", F.round("accuracy", 6).alias("accuracy"))
 
 
 def batch_mean_accuracy(spark, sf_dir):
     """Mean of batch accuracies beside the token-weighted one."""
-    s = _scored(spark, sf_dir).select(F.floor(F.col("doc_id") / 32).alias("batch_id"), "label", vocab.argmax(F.col("logits")).alias("pred"))
+    s = _predicted(spark, sf_dir).select(F.floor(F.col("doc_id") / 32).alias("batch_id"), "label", "pred")
     per = s.groupBy("batch_id").agg(F.count_if((F.col("pred") == F.col("label")) & (F.col("label") >= 0)).alias("r"), F.count_if(F.col("label") >= 0).alias("n"))
     return per.agg(F.round(F.avg(F.try_divide("r", "n")), 6).alias("batch_mean"), F.round(F.try_divide(F.sum("r"), F.sum("n")), 6).alias("token_mean"))
 

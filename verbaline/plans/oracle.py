@@ -263,7 +263,7 @@ SELECT d.doc_id, md5(unhex({le32('strlen(text)')} || hex(encode(text)) || {le32(
         "noun_verb_wh_flags": f"WITH {ANN} SELECT doc_id, count(*) FILTER (tag IN ({', '.join(map(q, tags.NOUNS))})) AS nouns, count(*) FILTER (tag IN ({VERBS})) AS verbs, count(*) FILTER (tag IN ({WH})) AS wh_words FROM ann GROUP BY doc_id",
         "sentence_feats_literal": f"WITH {CTX} SELECT doc_id, count(*) FILTER (st AND NOT wh AND NOT aux) AS feats FROM c2 GROUP BY doc_id",
         "wh_question_count": f"WITH {CTX} SELECT doc_id, count(*) FILTER (st AND wh AND aux) AS wh_questions FROM c2 GROUP BY doc_id",
-        "head_tokens": f"WITH {ANN} SELECT a.doc_id, a.tok_idx, h.token AS head_token, h.tag AS head_tag FROM ann a LEFT JOIN ann h ON h.doc_id = a.doc_id AND h.tok_idx = a.tok_idx // 2",
+        "head_tokens": f"WITH {ANN.replace('web AS (', 'web AS MATERIALIZED (').replace('ann AS (', 'ann AS MATERIALIZED (')} SELECT a.doc_id, a.tok_idx, h.token AS head_token, h.tag AS head_tag FROM ann a LEFT JOIN ann h ON h.doc_id = a.doc_id AND h.tok_idx = a.tok_idx // 2",
         "conllu_roundtrip": f"WITH {ANN} SELECT doc_id, tok_idx, token AS form, tag AS xpos FROM ann",
         "conllu_filter_ids": f"WITH {ANN} SELECT doc_id, tag AS xpos, count(*) AS n FROM ann WHERE tok_idx % 7 <> 3 AND tok_idx % 11 <> 5 GROUP BY ALL",
         "vocab_json_roundtrip": f"WITH {WEB}, {vocab('web')} SELECT word, word_id FROM vocab",
