@@ -176,6 +176,7 @@ def test_lm_scores_each_token_once_and_by_its_past(monkeypatch):
     want = [plain_lm(p, layout, t) for t in texts]
     for together in (512, 3):  # windows that do and do not go through together with the ones before them
         monkeypatch.setattr(lm_score, "TOGETHER", together)
+        monkeypatch.setattr(lm_score, "NEAR", max(2, together // 8))
         monkeypatch.setattr(lm_score, "LAID", together * 10)
         assert np.allclose(lm_score.Scorer(p, layout).scores(texts), want, atol=2e-3)
 
