@@ -19,6 +19,8 @@ def scratch(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = f"file://{tempfile.mkdtemp(prefix='verbaline-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

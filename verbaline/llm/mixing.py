@@ -87,7 +87,11 @@ def mix(docs: DataFrame, *, size: Column | None = None, cycle: tuple[int, ...] =
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it (none to three), parts of a copy rounded up or down by a hash of doc_id."""
+    """Each document as many times as the mix takes it (none to three), parts of a copy rounded up or down by a hash of doc_id.
+
+    Rows that share a doc_id, or have none, share one number of copies, from their sizes and takings together. Null, empty and
+    blank texts have no words and are never taken. Null source: a source of its own. Empty table: no rows.
+    """
     taken = mix(docs).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
     copies = F.floor(F.col("t") / F.greatest(F.col("s"), F.lit(1)) + hash32(F.col("_mix_id"), F.lit("part")) / F.lit(2**32)).cast("int")
     taken = taken.select("_mix_id", copies.alias("_mix_copies")).where("_mix_copies > 0")

@@ -224,5 +224,6 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces with their ids, one row per piece."""
+    """The packed pieces with their ids, one row per piece. Null and empty texts: a piece of the end id. Equal rows are packed
+    each for itself, pieces of one length in any order among them. Empty table: no rows. Other columns are not kept."""
     return pack(written(pieces(docs), "pieces"))
