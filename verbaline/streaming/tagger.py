@@ -35,10 +35,15 @@ def render(results: DataFrame, key: str = "request_id") -> DataFrame:
 def run_available(spark: SparkSession, source: str, schema, transform, folder: str | None = None) -> DataFrame:
     """Runs a stream over all files there are in a Parquet source (a pattern: one file, or a folder of them), and returns what it wrote.
 
-    The sink and its log lie in the shared folder that the cluster names, so a restarted query goes on where it stopped.
+    The sink and its log lie in folder; a query that is given the same folder again goes on where it stopped. Without one, in
+    a new folder under the shared one that the cluster names.
     """
-    base = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='verbaline-')}"
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not folder:
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = f"{(base or 'file://' + tempfile.mkdtemp(prefix='verbaline-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = folder.rstrip("/")
     stream = transform(spark.readStream.schema(schema).parquet(source))
     q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     q.awaitTermination()
