@@ -39,3 +39,13 @@ def test_dimensions(spark):
     dim = {r.tag: r for r in tags.dim_tag(spark).collect()}
     assert len(dim) == 51 and dim["HYPH"].label_idx == 14 and dim["HYPH"].json_id == 15 and dim["GW"].json_id == 14 and dim["``"].json_id == 48 and dim["XX"].json_id is None
     assert tags.dim_upos(spark).count() == 19 and tags.dim_dep(spark).count() == 46
+
+
+def test_murmur2a_in_parts():
+    from verbaline.functions.hashing import Murmur2A, murmur2a
+
+    for parts in ([], [b""], [b"a"], [b"ab", b"", b"cde"], [b"abcd", b"efgh"], [bytes(range(250)), b"xyz", b"1234567"]):
+        m = Murmur2A(7)
+        for p in parts:
+            m.add(p)
+        assert m.end() == murmur2a([b"".join(parts)], 7)[0]

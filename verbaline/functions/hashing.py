@@ -78,7 +78,6 @@ def murmur2(raw: list[bytes], seed: int = 1) -> np.ndarray:
 
 
 def murmur2a(raw: list[bytes], seed: int = 1) -> np.ndarray:
-    """The incremental form gives the same on joined input."""
     m = np.uint32(M32)
 
     def fn(b: np.ndarray, n: int) -> np.ndarray:
@@ -91,6 +90,50 @@ def murmur2a(raw: list[bytes], seed: int = 1) -> np.ndarray:
     return grouped(raw, fn, np.uint32)
 
 
+class Murmur2A:
+    """murmur2a of bytes that come in parts; holds the hash so far, up to three bytes that fill no block yet, and the length."""
+
+    def __init__(self, seed: int = 1):
+        self.h, self.left, self.n = seed & 0xFFFFFFFF, b"", 0
+
+    def _take(self, k: int) -> None:
+        k = k * M32 & 0xFFFFFFFF
+        self.h = (self.h * M32 & 0xFFFFFFFF) ^ ((k ^ k >> R32) * M32 & 0xFFFFFFFF)
+
+    def add(self, part: bytes) -> Murmur2A:
+        self.n += len(part)
+        data = self.left + part
+        whole = len(data) // 4 * 4
+        for k in np.frombuffer(data[:whole], "<u4").tolist():
+            self._take(k)
+        self.left = data[whole:]
+        return self
+
+    def end(self) -> int:
+        """The hash; nothing can be added after it."""
+        self._take(int.from_bytes(self.left, "little"))
+        self._take(self.n & 0xFFFFFFFF)
+        h = (self.h ^ self.h >> 13) * M32 & 0xFFFFFFFF
+        return h ^ h >> 15
+
+
+def parts_hash_udf(seed: int = 1):
+    """Column function of an array of strings: murmur2a of them one after another, never joined; null parts are skipped, a null
+    array gives null."""
+
+    def one(parts) -> int:
+        m = Murmur2A(seed)
+        for p in parts:
+            if p is not None:
+                m.add(p.encode())
+        return m.end()
+
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([pd.NA if x is None else one(x) for x in s], index=s.index, dtype="Int64")
+
+    return F.pandas_udf(run, "long")
+
+
 def murmur64b(raw: list[bytes], seed: int = 1) -> np.ndarray:
     """Two 32-bit lanes that take the blocks in turn."""
     m = np.uint32(M32)

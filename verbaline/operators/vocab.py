@@ -59,9 +59,12 @@ def decode(encoded: DataFrame, vocab: DataFrame, id_col: str = "tag_id", out: st
 
 def batch_ids(sentences: DataFrame, key: str, size: int = 32, seed: int | None = None) -> DataFrame:
     """sentences with batch_id: consecutive ones in the order of the key, or in a random order that the seed fixes; the
-    last batch may be short. Ranked by buckets of an order-preserving number, so no task holds all rows."""
-    order = F.col(key) if seed is None else F.xxhash64(key, F.lit(seed))
-    s = sentences.withColumn("_o", order).withColumn("_b", F.floor(F.col("_o") / (4096 if seed is None else 2**48)))
+    last batch may be short. Ranked by buckets of an order-preserving number, so no task holds all rows. Null keys come
+    first; equal keys in any order."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    order = F.col(key) if seed is None else F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    bucket = F.coalesce(F.floor(F.col("_o") / (4096 if seed is None else 2**44)), F.lit(-(2**62)))
+    s = sentences.withColumn("_o", order).withColumn("_b", bucket)
     sizes = s.groupBy("_b").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

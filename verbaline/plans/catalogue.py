@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from verbaline.functions import hashing, registry, tags
 from verbaline.functions.rules import peel
-from verbaline.functions.text import SPACE
+from verbaline.functions.text import SPACE, web_tokens
 from verbaline.operators import cnn, features, tokens, vocab
 from verbaline.plans import oracle
 from verbaline.sources import conllu, vocab_json
@@ -145,6 +145,12 @@ def _hashed(name):
     return q
 
 
+def murmur2a_parts(spark, sf_dir):
+    """The incremental hash over the words of each conversation turn."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), hashing.parts_hash_udf()(web_tokens(F.col("text"))).alias("hash"))
+
+
 def upos_base(spark, sf_dir):
     a = annotated(spark, sf_dir)
     dim = tags.dim_tag(spark).select("tag", "upos_base")  # 51 rows, fixed
@@ -202,6 +208,13 @@ def vocab_json_roundtrip(spark, sf_dir):
     return vocab_json.from_json(vocab_json.to_json(vocab_map(spark, sf_dir), "word", "word_id"), "word", "word_id")
 
 
+def conllu_files(spark, sf_dir):
+    """All documents as sentences in files of the shared folder, read again: words and tags with their counts and last place."""
+    at = tagger.shared_folder(spark, "conllu")
+    conllu.to_text(annotated(spark, sf_dir), "doc_id", form="token", xpos="tag").select("text").write.text(at)
+    return conllu.read(spark, at).groupBy("form", "xpos").agg(F.count("*").alias("n"), F.max("tok_idx").alias("last_idx"))
+
+
 def tag_map_invert(spark, sf_dir):
     return vocab_json.inverted(vocab_json.from_json(vocab_json.to_json(tag_map(spark, sf_dir), "tag", "tag_id"), "tag", "tag_id"), "tag", "tag_id")
 
@@ -210,6 +223,11 @@ def batch_assignment(spark, sf_dir):
     return vocab.batch_ids(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def batch_shuffle(spark, sf_dir):
+    """Batches of all documents in the random order of seed 42."""
+    return vocab.batch_ids(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", seed=42)
+
+
 def _turns(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("sent_id", F.col("conv_id") * 1000 + F.col("turn"))
     return tokens.web_token_table(c, "sent_id")
@@ -340,6 +358,22 @@ def stream_infer(spark, sf_dir):
     return out.select("request_id", "type", F.array_join("words", " ").alias("words"), F.array_join("tags", " ").alias("tags"))
 
 
+def _refusing(many: list[list[str]]) -> list[list[str]]:
+    """A stand-in for a model that fails on messages of an even number of words."""
+    for words in many:
+        if len(words) % 2 == 0:
+            raise ValueError(f"{len(words)} words")
+    return [[tags.LABELS[len(w) % 50][0] for w in words] for words in many]
+
+
+def message_loop(spark, sf_dir):
+    """Messages of three types over a stream of all conversation turns: the model loads, tags, fails, or the type is unknown."""
+    kind = F.when(F.col("turn") % 3 == 1, "LOAD").when((F.col("conv_id") + F.col("turn")) % 5 == 4, "PING").otherwise("INFER")
+    turn = lambda s: tagger.serve(_turn_messages(s).withColumn("type", kind), tagger.guarded(_refusing))
+    out = tagger.run_available(spark, f"{sf_dir}/conversations.parquet*", MESSAGES, turn)
+    return out.select("request_id", "type", F.array_join("tags", " ").alias("tags"), "error")
+
+
 def cnn_train(spark, sf_dir):
     """Loss and accuracy of each epoch of a tagger trained on all benchmark items but every fifth, and tested on those."""
     t = tokens.web_token_table(table(spark, sf_dir, "benchmark"), "item_id").withColumn("tag", tags.pick((F.length("token") % 50).cast("int"), [x for x, _ in tags.LABELS]))
@@ -355,8 +389,8 @@ def queries() -> dict:
     plain = (
         web_token_counts, vocab_map, tag_map, encode_unk, oov_words, strict_tag_check, dataset_stats, ws_runs, spacy_flags, affix_peel, rule_tokens, url_rule_tokens, rule_token_counts, sql_functions,
         byte_offsets, doc_buffer_size, doc_buffer_md5, upos_base, upos_resolved, upos_raw_compat, upos_counts, noun_verb_wh_flags, sentence_feats_literal, wh_question_count, head_tokens,
-        conllu_roundtrip, conllu_filter_ids, vocab_json_roundtrip, tag_map_invert, batch_assignment, pad_batches, trigram_contexts, conv_int_logits, argmax_first, masked_accuracy, batch_mean_accuracy,
-        cross_entropy, epoch_loss, decode_tags, weights_roundtrip, render_html, stream_infer, cnn_train,
+        conllu_roundtrip, conllu_filter_ids, conllu_files, vocab_json_roundtrip, tag_map_invert, batch_assignment, batch_shuffle, pad_batches, trigram_contexts, conv_int_logits, argmax_first, masked_accuracy, batch_mean_accuracy,
+        cross_entropy, epoch_loss, decode_tags, weights_roundtrip, render_html, stream_infer, message_loop, murmur2a_parts, cnn_train,
     )
     out = {"encode_documents": entry, "web_tokens": web} | {f.__name__: f for f in plain}
     return out | {f"{n}_words": _hashed(n) for n in hashing.HASHES}

@@ -172,10 +172,10 @@ def murmur2() -> str:
     return f"WITH {HASH}, a AS (SELECT word, hx, n, {body} AS h FROM w1), b AS (SELECT word, {tail} AS h FROM a), {FIN32}"
 
 
-def murmur2a() -> str:
+def murmur2a(head: str = HASH) -> str:
     """The tail, a zero if there is none, and the length are blocks like the others."""
     bl = f"list_append(list_append(list_transform(range((n // 4)::BIGINT), lambda i: {block(4, 'i')}), CASE WHEN n % 4 > 0 THEN {block(4, '(n // 4)::BIGINT')} ELSE 0::UBIGINT END), n)"
-    return f"WITH {HASH}, b AS (SELECT word, {fold('1::UBIGINT', bl, f'xor({m32("h")}, {mixed32("k")})')} AS h FROM w1), {FIN32}"
+    return f"WITH {head}, b AS (SELECT word, {fold('1::UBIGINT', bl, f'xor({m32("h")}, {mixed32("k")})')} AS h FROM w1), {FIN32}"
 
 
 def murmur64b() -> str:
@@ -220,6 +220,13 @@ INFER = f"""inf AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS request_i
 tagged AS (SELECT *, list_transform(words, lambda w: ([{', '.join(map(q, LABELS))}])[(length(w) % 50)::INT + 1]) AS tags FROM inf)"""
 
 
+PARTS = f"w0 AS (SELECT conv_id * 1000 + turn AS word, array_to_string(regexp_extract_all(lower(text), {q(WEB_TOKEN)}), '') AS j FROM conversations), w1 AS (SELECT word, hex(encode(j)) AS hx, strlen(j)::UBIGINT AS n FROM w0)"
+LOOP = f"""{INFER.replace('SELECT conv_id::VARCHAR', 'SELECT conv_id, turn, conv_id::VARCHAR')}, loop AS (SELECT *, CASE WHEN turn % 3 = 1 THEN 'LOAD' WHEN (conv_id + turn) % 5 = 4 THEN 'PING' ELSE 'INFER' END AS kind FROM tagged),
+said AS (SELECT *, kind = 'INFER' AND (text IS NULL OR len(words) % 2 = 0) AS failed FROM loop WHERE kind <> 'PING')
+SELECT request_id, CASE WHEN kind = 'LOAD' THEN 'READY' WHEN failed THEN 'ERROR' ELSE 'RESULT' END AS type, CASE WHEN kind = 'INFER' AND NOT failed THEN array_to_string(tags, ' ') END AS tags,
+  CASE WHEN failed THEN coalesce(len(words)::VARCHAR || ' words', 'no text') END AS error FROM said"""
+
+
 def html(x: str) -> str:
     for c, e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         x = f"replace({x}, {q(c)}, {q(e)})"
@@ -255,6 +262,7 @@ SELECT d.doc_id, md5(unhex({le32('strlen(text)')} || hex(encode(text)) || {le32(
         "murmur2_words": murmur2(),
         "murmur2a_words": murmur2a(),
         "murmur64b_words": murmur64b(),
+        "murmur2a_parts": f"SELECT word AS sent_id, hash FROM ({murmur2a(PARTS)})",
         "upos_base": f"WITH {ANN} SELECT tag, {pick('label_idx', BASE)} AS upos_base, count(*) AS n FROM ann GROUP BY ALL",
         "upos_resolved": f"WITH {RES} SELECT doc_id, tok_idx, tag, dep, upos FROM res",
         "upos_raw_compat": f"""WITH {ANN} SELECT label_idx, dep_id, CASE WHEN label_idx BETWEEN 38 AND 43 AND dep_id IN (9, 10) THEN 'AUX' WHEN label_idx IN (12, 44) AND dep_id NOT IN (20, 42) THEN 'PRON'
@@ -266,9 +274,11 @@ SELECT d.doc_id, md5(unhex({le32('strlen(text)')} || hex(encode(text)) || {le32(
         "head_tokens": f"WITH {ANN.replace('web AS (', 'web AS MATERIALIZED (').replace('ann AS (', 'ann AS MATERIALIZED (')} SELECT a.doc_id, a.tok_idx, h.token AS head_token, h.tag AS head_tag FROM ann a LEFT JOIN ann h ON h.doc_id = a.doc_id AND h.tok_idx = a.tok_idx // 2",
         "conllu_roundtrip": f"WITH {ANN} SELECT doc_id, tok_idx, token AS form, tag AS xpos FROM ann",
         "conllu_filter_ids": f"WITH {ANN} SELECT doc_id, tag AS xpos, count(*) AS n FROM ann WHERE tok_idx % 7 <> 3 AND tok_idx % 11 <> 5 GROUP BY ALL",
+        "conllu_files": f"WITH {ANN} SELECT token AS form, tag AS xpos, count(*) AS n, max(tok_idx) AS last_idx FROM ann GROUP BY ALL",
         "vocab_json_roundtrip": f"WITH {WEB}, {vocab('web')} SELECT word, word_id FROM vocab",
         "tag_map_invert": f"WITH {ANN} SELECT row_number() OVER (ORDER BY tag) - 1 AS tag_id, tag FROM (SELECT DISTINCT tag FROM ann)",
         "batch_assignment": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch_id FROM documents",
+        "batch_shuffle": "SELECT doc_id, (row_number() OVER (ORDER BY ('0x' || substr(md5(doc_id::VARCHAR || ':42'), 1, 15))::BIGINT, doc_id) - 1) // 32 AS batch_id FROM documents",
         "pad_batches": f"""WITH {TURNS}, {vocab('turns')}, s AS (SELECT sent_id, list(word_id ORDER BY tok_idx) AS ids FROM turns JOIN vocab ON token = word GROUP BY sent_id),
 b AS (SELECT *, (row_number() OVER (ORDER BY sent_id) - 1) // 32 AS batch_id FROM s), w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width FROM b)
 SELECT sent_id, batch_id, array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda i: 0::BIGINT)), ' ') AS padded FROM w""",
@@ -285,5 +295,6 @@ SELECT 'embedding' AS name, n::VARCHAR || ' 4' AS shape, n * 4 AS n, (SELECT sum
 UNION ALL SELECT 'conv.weight', '3 4 3', 36, (SELECT sum((f + 2 * d + 3 * k) % 3 - 1) FROM range(3) a(f), range(4) b(d), range(3) c(k))::DOUBLE
 UNION ALL SELECT 'conv.bias', '3', 3, 0.0 UNION ALL SELECT 'fc.weight', '5 3', 15, (SELECT sum((2 * t + f) % 3 - 1) FROM range(5) a(t), range(3) b(f))::DOUBLE UNION ALL SELECT 'fc.bias', '5', 5, 2.0""",
         "render_html": f"WITH {INFER} SELECT request_id, array_to_string(list_transform(list_zip(words, tags), lambda x: '<div><span>' || {html('x[1]')} || '</span><span>' || {html('x[2]')} || '</span></div>'), '') AS html FROM tagged",
+        "message_loop": f"WITH {LOOP}",
         "stream_infer": f"WITH {INFER} SELECT request_id, CASE WHEN text IS NULL THEN 'ERROR' ELSE 'RESULT' END AS type, array_to_string(words, ' ') AS words, array_to_string(tags, ' ') AS tags FROM tagged",
     }

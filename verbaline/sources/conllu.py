@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: What parts sentences.
+BLANK = r"\r?\n[ \t]*\r?\n"
+
+
 def tokens_of(files: DataFrame) -> DataFrame:
     """From (path, text): path, sent_id, tok_idx, form (lower-cased), xpos (null for _).
 
     Blank lines part sentences; lines that begin with # and tokens whose id is no plain integer (a-b, a.b) are left out,
     and so are sentences without tokens.
     """
-    s = files.select("path", F.posexplode(F.split("text", r"\r?\n[ \t]*\r?\n")).alias("sent_id", "s"))
+    return _parsed(files.select("path", F.posexplode(F.split("text", BLANK)).alias("sent_id", "s")))
+
+
+def _parsed(s: DataFrame) -> DataFrame:
+    """The token table of (path, sent_id, s)."""
     lines = s.select("path", "sent_id", F.posexplode(F.split("s", r"\r?\n")).alias("line", "l")).where("l <> '' and l not like '#%'")
     f = lines.select("path", "sent_id", "line", F.split("l", "\t").alias("f")).where((F.size("f") >= 5) & F.get("f", 0).rlike(r"\A[0-9]+\z"))
     order = Window.partitionBy("path", "sent_id").orderBy("line")
@@ -21,9 +29,17 @@ def tokens_of(files: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Token table of one or many files. A file is one row while it is split, as a sentence may not be cut."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return tokens_of(files)
+    """Token table of one or many files, as tokens_of gives it. Spark cuts files at empty lines, so a file of any size is
+    read by many tasks (with other line ends it is one row). Sentences are numbered by the counts of the splits before."""
+    m = F.col("_metadata")
+    rows = spark.read.text(path, lineSep="\n\n").select(m["file_path"].alias("path"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"), F.split("value", BLANK).alias("s"))
+    each = rows.groupBy("path", "block").agg(F.sum(F.size("s")).alias("n"))
+    earlier = lambda *order: Window.partitionBy(*order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda n, w: F.coalesce(F.sum(n).over(w), F.lit(0))
+    start = each.select("path", "block", before(F.col("n"), earlier("path", "block")).alias("start"))
+    rows = rows.withColumn("at", before(F.size("s"), earlier("path", "block", "row"))).join(start, ["path", "block"])
+    s = rows.select("path", (F.col("start") + F.col("at")).alias("first"), F.posexplode("s").alias("k", "s"))
+    return _parsed(s.select("path", (F.col("first") + F.col("k")).alias("sent_id"), "s"))
 
 
 def sentences(tokens: DataFrame, *keys: str) -> DataFrame:
