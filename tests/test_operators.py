@@ -77,6 +77,8 @@ def test_network(spark):
     w = cnn.new_weights(20, 5, 8, 6)
     a, b = np.array([3, 4, 5]), np.array([7])
     assert np.allclose(cnn.forward(w, np.r_[a, b], np.array([0, 3])), np.concatenate([naive(w, a), naive(w, b)]), atol=1e-5)
+    assert np.allclose(cnn.forward_rows(w, w["embedding"][np.r_[a, b]], np.array([0, 3, 3])), cnn.forward(w, np.r_[a, b], np.array([0, 3])), atol=1e-5)
+    assert cnn.forward_rows(w, np.zeros((0, 8), np.float32), np.zeros(1, np.int64)).shape == (0, 5)
     back = cnn.from_table(cnn.to_table(spark, w))
     assert all(np.array_equal(back[k], w[k]) for k in w)
     df = spark.createDataFrame([(1, [3, 4, 5]), (2, [7]), (3, []), (4, None)], "id long, word_ids array<long>")

@@ -50,6 +50,17 @@ def forward(w: dict[str, np.ndarray], ids: np.ndarray, start: np.ndarray, t: np.
     return h @ w["fc.weight"].T + w["fc.bias"]
 
 
+def forward_rows(w: dict[str, np.ndarray], x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """forward for the tokens' own rows of the embedding (tokens, D) in place of their ids; w needs the other layers only."""
+    left, mid, right = np.einsum("nd,fdk->knf", x, w["conv.weight"])
+    h = mid + w["conv.bias"]
+    inner = np.ones((len(x), 1), bool)
+    inner[start[start < len(x)]] = False  # a first token has none before it, and the one before that none after it
+    h[1:] += left[:-1] * inner[1:]
+    h[:-1] += right[1:] * inner[1:]
+    return np.maximum(h, 0) @ w["fc.weight"].T + w["fc.bias"]
+
+
 def to_table(spark: SparkSession, w: dict[str, np.ndarray]) -> DataFrame:
     """(name, shape, values): weights as rows, for Parquet."""
     rows = [(k, list(v.shape), v.ravel().tolist()) for k, v in w.items()]
@@ -57,7 +68,7 @@ def to_table(spark: SparkSession, w: dict[str, np.ndarray]) -> DataFrame:
 
 
 def from_table(df: DataFrame) -> dict[str, np.ndarray]:
-    """A model's few rows; its size is the vocabulary's of training, not the data's."""
+    """A model's few rows on the driver, for a vocabulary of known size; a larger embedding stays a table of rows by word_id."""
     return {r.name: np.asarray(r["values"], np.float32).reshape(r.shape) for r in df.where(F.col("name").isin(*NAMES)).collect()}
 
 
@@ -76,6 +87,31 @@ def logits_udf(spark: SparkSession, w: dict[str, np.ndarray]):
     return F.pandas_udf(run, "array<array<float>>")
 
 
+def embed(encoded: DataFrame, embedding: DataFrame) -> DataFrame:
+    """encoded with vector, from an embedding of one row (word_id, vector) for every id. It grows with the vocabulary, so whether
+    it is broadcast is left to its measured size."""
+    return encoded.join(embedding.select("word_id", "vector"), "word_id")
+
+
+def rows_udf(spark: SparkSession, w: dict[str, np.ndarray], best: bool = False):
+    """As logits_udf, or first_best_udf if best, for sentences of embedding rows, laid end to end in one array each. The rows
+    come to the tokens by a join, so a vocabulary may be of any size: only the other layers are sent."""
+    sent = spark.sparkContext.broadcast({k: v for k, v in w.items() if k != "embedding"})
+    width = w["conv.weight"].shape[1]
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            n = np.array([0 if x is None else len(x) // width for x in s], np.int64)
+            x = np.concatenate([np.asarray(x, np.float32) for x in s if x is not None] or [np.zeros(0, np.float32)]).reshape(-1, width)
+            out = forward_rows(sent.value, x, np.cumsum(n) - n)
+            if best:
+                out = np.nan_to_num(out, nan=-np.inf).argmax(axis=1)
+            cut = np.split(out, np.cumsum(n)[:-1]) if len(s) else []
+            yield pd.Series(cut if best else [list(c) for c in cut], index=s.index)
+
+    return F.pandas_udf(run, "array<long>" if best else "array<array<float>>")
+
+
 def first_best_udf(spark: SparkSession, w: dict[str, np.ndarray]):
     """Column function: array of word ids -> array of tag ids, the first largest logit of each token; NaN counts as none."""
     sent = spark.sparkContext.broadcast(w)

@@ -258,36 +258,39 @@ def trigram_contexts(spark, sf_dir):
     return tri.groupBy("left_id", "mid_id", "right_id").agg(F.count("*").alias("n"))
 
 
-def whole_number_net(words: int) -> dict[str, np.ndarray]:
-    """A small net with whole-number weights by formula, whose results are exact in any engine."""
-    v, d, f, t = np.arange(words)[:, None], np.arange(4), np.arange(3), np.arange(5)
-    k = np.arange(3)
+def whole_number_net() -> dict[str, np.ndarray]:
+    """A small net with whole-number weights by formula, whose results are exact in any engine; all layers but the embedding."""
+    d, f, t, k = np.arange(4), np.arange(3), np.arange(5), np.arange(3)
     return {
-        "embedding": (v * (d + 1) % 5 - 2).astype(np.float32), "conv.weight": ((f[:, None, None] + 2 * d[None, :, None] + 3 * k) % 3 - 1).astype(np.float32), "conv.bias": (f - 1).astype(np.float32),
+        "conv.weight": ((f[:, None, None] + 2 * d[None, :, None] + 3 * k) % 3 - 1).astype(np.float32), "conv.bias": (f - 1).astype(np.float32),
         "fc.weight": ((2 * t[:, None] + f) % 3 - 1).astype(np.float32), "fc.bias": (t % 2).astype(np.float32),
     }
 
 
+def whole_number_embedding(words: DataFrame) -> DataFrame:
+    """words with vector: the net's embedding, one row a word, so that it may grow with the corpus."""
+    return words.withColumn("vector", F.array(*((F.col("word_id") * d % 5 - 2).cast("float") for d in range(1, 5))))
+
+
 def _labelled(spark, sf_dir):
-    """doc_id, word_ids, labels (-1 where masked) of each document, and the whole-number net."""
+    """doc_id, word_ids, vectors (end to end), labels (-1 where masked) of each document."""
     t = web(spark, sf_dir)
     v = vocab.word_vocab(t)
-    net = whole_number_net(v.count())
+    e = cnn.embed(vocab.encode(t, v), whole_number_embedding(v))
     label = F.when(F.col("tok_idx") % 10 == 9, -1).otherwise((F.col("tok_idx") + F.length("token")) % 5).cast("long")
-    return _sentences(vocab.encode(t, v).withColumn("label", label), "doc_id", "word_id", "label"), net
+    s = _sentences(e.withColumn("label", label), "doc_id", "word_id", "vector", "label")
+    return s.withColumn("vectors", F.flatten("vectors"))
 
 
 def _predicted(spark, sf_dir):
     """doc_id, tok_idx, label, pred: the tag is chosen beside the net, so that one number a token comes back."""
-    s, net = _labelled(spark, sf_dir)
-    s = s.withColumn("preds", cnn.first_best_udf(spark, net)(F.col("word_ids")))
+    s = _labelled(spark, sf_dir).withColumn("preds", cnn.rows_udf(spark, whole_number_net(), best=True)(F.col("vectors")))
     return s.select("doc_id", F.posexplode(F.arrays_zip("labels", "preds")).alias("tok_idx", "x")).select("doc_id", F.col("tok_idx").cast("long"), F.col("x.labels").alias("label"), F.col("x.preds").alias("pred"))
 
 
 def _scored(spark, sf_dir):
     """doc_id, tok_idx, word_id, label, logits of the whole-number net."""
-    s, net = _labelled(spark, sf_dir)
-    s = s.withColumn("logits", cnn.logits_udf(spark, net)(F.col("word_ids")))
+    s = _labelled(spark, sf_dir).withColumn("logits", cnn.rows_udf(spark, whole_number_net())(F.col("vectors")))
     return s.select("doc_id", F.posexplode(F.arrays_zip("word_ids", "labels", "logits")).alias("tok_idx", "x")).select("doc_id", F.col("tok_idx").cast("long"), F.col("x.word_ids").alias("word_id"), F.col("x.labels").alias("label"), F.col("x.logits").alias("logits"))
 
 
@@ -329,10 +332,16 @@ def decode_tags(spark, sf_dir):
 
 
 def weights_roundtrip(spark, sf_dir):
-    """The net as a table, read into arrays and written again: shapes, sizes and sums."""
-    t = cnn.to_table(spark, cnn.from_table(cnn.to_table(spark, whole_number_net(vocab_map(spark, sf_dir).count()))))
+    """The net written and read again: shapes, sizes and sums. The embedding is a table of rows by word; the other layers pass
+    through arrays."""
+    at = tagger.shared_folder(spark, "weights")
+    whole_number_embedding(vocab_map(spark, sf_dir)).select("word_id", "vector").write.parquet(f"{at}/embedding")
+    cnn.to_table(spark, whole_number_net()).write.parquet(f"{at}/layers")
+    t = cnn.to_table(spark, cnn.from_table(spark.read.parquet(f"{at}/layers")))
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
-    return t.select("name", F.array_join(F.transform("shape", lambda x: x.cast("string")), " ").alias("shape"), F.size("values").cast("long").alias("n"), total.alias("total"))
+    rows = spark.read.parquet(f"{at}/embedding").agg(F.count("*").alias("v"), F.sum(F.size("vector")).alias("n"), F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    embedding = rows.select(F.lit("embedding").alias("name"), F.concat(F.col("v").cast("string"), F.lit(" 4")).alias("shape"), "n", "total")
+    return embedding.unionByName(t.select("name", F.array_join(F.transform("shape", lambda x: x.cast("string")), " ").alias("shape"), F.size("values").cast("long").alias("n"), total.alias("total")))
 
 
 def _turn_messages(df: DataFrame) -> DataFrame:
