@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbaline.llm.common import sliced, written
+from verbaline.llm.common import drop, sliced, written
 from verbaline.llm.components import components
 
 BITS, SEGMENTS, SEED = 64, 4, 42
 WIDTH = BITS // SEGMENTS
 #: Counts of shingles by hash, and the parts in which they are added up.
 BUCKETS, PARTS = 2**20, 64
+#: Pairs left a row of the shingles' lists from which on further turns cost more than they save.
+ENOUGH = 4
 
 
 def fingerprint(text: str | None, n: int) -> bytes:
@@ -205,36 +207,57 @@ def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return written(roots.join(near, roots.root == near.node, "left").select("key", F.coalesce("component", "root").alias("root")), "roots")
 
 
+def spread(placed: DataFrame) -> DataFrame:
+    """token, c (texts), major (the root that most of them have), most (how many): lists of more than one root."""
+    each = placed.groupBy("token", "root").count()
+    lists = each.groupBy("token").agg(F.sum("count").alias("c"), F.max_by("root", F.struct("count", "root")).alias("major"), F.max("count").alias("most"))
+    return lists.where("most < c")
+
+
+def sided(side: str, of: str = "") -> list[Column]:
+    """key, root, n and pos of a text in a shingle's list, named for one side of a pair."""
+    return [F.col(of + c).alias(p + side) for c, p in (("key", ""), ("root", "r"), ("n", "n"), ("pos", "p"))]
+
+
 def joined(keyed: DataFrame, roots: DataFrame, shingle: int, least: float) -> DataFrame:
     """roots (key, root), made one for every pair of texts whose distinct shingles have a Jaccard similarity of `least`.
 
     Candidates share a prefix shingle (see prefixes()), so none is missed. Each text is first compared with one text of
-    every shingle's list, twice with another choice; that joins large groups at a cost in proportion to their size. What
-    is left are pairs of different roots: their overlap is bounded by the prefix shingles in common and by what follows
-    the last of them, and those that may still reach it are compared as whole sets.
+    every shingle's list: the one in which the shingle comes earliest, which of a group of altered copies is the least
+    altered, then others by hash. Turns are repeated while they help and more pairs are left than rows; they join large
+    groups at a cost in proportion to their size. What is left are pairs of different roots. Such a
+    pair meets at the first prefix shingle that it has in common, and only if what follows it in both texts is long
+    enough for the similarity; those pairs are compared as whole sets.
     """
     by = Window.partitionBy("token")
     every = prefixes(keyed, shingle, least).withColumn("_lo", F.min("key").over(by)).withColumn("_hi", F.max("key").over(by))
-    shared = written(every.where("_lo <> _hi").select("key", "n", "token", "pos").distinct(), "shared")
-    ids = shared.select("key").distinct()
-    texts = keyed.join(ids, "key", "left_semi").dropDuplicates(["key"])
+    p = written(every.where("_lo <> _hi").select("key", "n", "token", "pos").distinct(), "shared")
+    texts = keyed.join(p.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     sets = written(shingle_sets(texts, shingle), "sets")
+    need = F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6
     sizes = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9
-    for turn in range(2):
-        p = shared.join(roots, "key")
-        lead = p.groupBy("token").agg(F.min_by(F.struct("key", "n", "root"), F.xxhash64(F.lit(turn), "key")).alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        pairs = p.join(lead, "token").where("root <> l.root").select(F.col("l.key").alias("a"), F.col("key").alias("b"), F.col("l.root").alias("ra"), F.col("root").alias("rb"), F.col("l.n").alias("na"), F.col("n").alias("nb"))
-        roots = merged(roots, similar(pairs.where(sizes).select("a", "b", "ra", "rb").distinct(), sets, least))
-    p = shared.join(roots, "key")
-    several = p.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    p = written(p.join(several, "token", "left_semi"), "open")
-    a = p.select("token", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = p.select(F.col("token").alias("_t"), F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    met = a.join(b, (F.col("token") == F.col("_t")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sizes)
-    met = met.groupBy("a", "b", "ra", "rb", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    met = met.where(most >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6)
-    return merged(roots, similar(met.select("a", "b", "ra", "rb"), sets, least))
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    turn, before = 0, float("inf")
+    while True:
+        held, placed = p, p.select("key", "n", "token", "pos").join(roots, "key")
+        p = written(placed.join(spread(placed), "token"), "open")
+        drop(held)
+        rows, left = p.agg(F.count("*"), F.coalesce(F.sum((F.col("c") - F.col("most")).cast("double")), F.lit(0.0))).first()
+        if turn and (left <= ENOUGH * rows or left > 0.9 * before):
+            break
+        other = F.xxhash64(F.lit(turn), "key")
+        lead = p.groupBy("token").agg(F.min_by(F.struct("key", "root", "n", "pos"), F.struct("pos", other.alias("h")) if turn == 0 else other).alias("l"))
+        pairs = p.join(lead, "token").where("root <> l.root").select(*sided("a", "l."), *sided("b"))
+        roots = merged(roots, similar(pairs.where(sizes & (F.least("pa", "pb") + rest >= need)).select("a", "b", "ra", "rb").distinct(), sets, least))
+        turn, before = turn + 1, left
+    # Of two texts with different roots at least one is outside the root that most of the list has.
+    a = p.where("root <> major").select("token", *sided("a"))
+    b = p.select(F.col("token").alias("_t"), *sided("b"), (F.col("root") == F.col("major")).alias("_m"))
+    # The first shingle in common has nothing in common before it, so what follows it in both must do.
+    met = a.join(b, (F.col("token") == F.col("_t")) & (F.col("ra") != F.col("rb")) & (F.col("_m") | (F.col("a") < F.col("b"))) & sizes & (rest >= need))
+    one, two = (F.struct(F.col(x).alias("key"), F.col("r" + x).alias("root")) for x in "ab")
+    met = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
+    return merged(roots, similar(met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")), sets, least))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, shingle: int = 5, most: int = 2, least: float = 0.8) -> DataFrame:
