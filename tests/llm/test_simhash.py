@@ -137,3 +137,26 @@ def test_stage_tells_equal_and_null_ids_apart(spark, docs_of):
     rows = [(1, text[0], "a"), (1, text[1], "a"), (1, text[1], "a"), (2, text[2], "a"), (None, text[2], "a"), (None, text[3], "a"), (None, text[4], "a"), (None, text[4], "a"), (None, text[5], "a")]
     out = sorted((r.text, r.doc_id) for r in simhash.stage(spark, docs_of(rows), "").collect())
     assert out == sorted([(text[0], 1), (text[1], 1), (text[2], 2), *((t, None) for t in text[3:])])
+
+
+def test_joined_equals_brute_force_on_hubs_and_shared_passages(spark, docs_of):
+    """Altered copies of one text that are like it but not like each other, and texts that share a passage but are unlike."""
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    base, passage, texts = [word() for _ in range(150)], [word() for _ in range(90)], []
+    texts.append(" ".join(base))
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rnd.randrange(1, 6)):
+            copy[rnd.randrange(150)] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join([*passage, *(word() for _ in range(rnd.randrange(15, 40)))]) for _ in range(60)]
+    root = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8]
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    keyed = docs_of([(i, t, "a") for i, t in enumerate(texts)]).selectExpr("doc_id AS key", "text")
+    roots = simhash.written(keyed.selectExpr("key", "key AS root"), "roots")
+    got = {r.key: r.root for r in simhash.joined(keyed, roots, 5, 0.8).collect()}
+    assert got == dict(enumerate(root)) and 30 < len(set(root)) < 100 and len(near) < 120 * 119 / 4
