@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verbaline.llm import language_id, lm_score, metric_join, mixing, nn_descent, packing, quality, secrets, sharding, simhash
+from verbaline.llm import bpe, language_id, lm_score, metric_join, mixing, nn_descent, packing, quality, secrets, sharding, simhash
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_secrets": secrets.op8,
         "op9_mixing": mixing.op9,
         "op10_sharding": sharding.op10,
+        "op11_bpe": bpe.op11,
     }
 
 
