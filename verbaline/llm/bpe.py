@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from verbaline.llm.common import written
 
 #: Unicode white space, and the letters and digits below U+0250, of which no later Unicode version adds any.
-SPACE = "\t-\r \x85\xa0  -     　"
-LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: What makes a run of non-spaces one word, which the tokenizer itself takes apart: letters beyond, and an added token's first sign.
-FAR = "<ɐ-\U0010ffff"
+FAR = "<\u0250-\U0010ffff"
 #: The parts that byte-level BPE encodes by themselves, or several of them where a run is left whole.
 WORD = re.compile(
     rf"(?:[{SPACE}]++|\A)(?=[^{SPACE}{FAR}]*+[{FAR}])[^{SPACE}]++"

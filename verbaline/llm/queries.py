@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verbaline.llm import bpe, language_id, lm_score, metric_join, mixing, nn_descent, packing, quality, secrets, sharding, simhash
+from verbaline.llm import bpe, language_id, lm_score, metric_join, mixing, nn_descent, packing, quality, secrets, sharding, simhash, spelling, whitening
 
 
 def queries():
@@ -18,9 +18,11 @@ def queries():
         "op9_mixing": mixing.op9,
         "op10_sharding": sharding.op10,
         "op11_bpe": bpe.op11,
+        "op12_spelling": spelling.op12,
+        "op13_whitening": whitening.op13,
     }
 
 
 def oracle_sql():
     """Models, tokenizers, fingerprints and offsets of matches are beyond SQL; those queries are tested against plain versions."""
-    return {"op5_metric_join": metric_join.OP5_SQL, "op9_mixing": mixing.OP9_SQL, "op10_sharding": sharding.OP10_SQL}
+    return {"op5_metric_join": metric_join.OP5_SQL, "op9_mixing": mixing.OP9_SQL, "op10_sharding": sharding.OP10_SQL, "op12_spelling": spelling.OP12_SQL}
