@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verbaline.llm.common import written
 
@@ -83,17 +84,52 @@ def encode_udf(path: str | None = None):
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", out: str = "piece") -> DataFrame:
     """encoded with its ids as bytes (null or empty ids: no bytes), by a join with the pieces; an id without a piece fails.
 
-    Rows are told apart by a number of their own, so they may repeat. Rows already partitioned by one of their columns are
-    not shuffled.
+    A row's ids stay in one task and in order through the join, as the pieces are a broadcast table of a tokenizer's size; so
+    the bytes are put together as they come, without a shuffle. Rows may repeat, and null ids become empty ones.
     """
-    rows = encoded.withColumn("_row", F.monotonically_increasing_id())
-    each = rows.select("*", F.posexplode_outer(ids).alias("_pos", "_id"))
-    known = pieces(encoded.sparkSession, path).select(F.col("id").alias("_piece_id"), F.col("piece").alias("_piece"))  # a fixed table
-    each = each.join(F.broadcast(known), F.col("_id") == F.col("_piece_id"), "left")
-    piece = F.when(F.col("_id").isNull() | F.col("_piece").isNotNull(), F.hex("_piece")).otherwise(F.raise_error(F.concat(F.lit("no piece for id "), F.col("_id").cast("string"))))
-    parts = F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos").alias("p"), piece.alias("h")))))
-    got = each.groupBy(*encoded.columns, "_row").agg(parts.alias("_parts"))
-    return got.select(*encoded.columns, F.unhex(F.array_join(F.transform("_parts", lambda x: x["h"]), "")).alias(out))
+    rest = [c for c in encoded.columns if c != ids]
+    each = encoded.select(F.struct(F.lit(True).alias("_row"), *rest).alias("head"), F.posexplode_outer(ids).alias("pos", "id"))
+    each = each.select(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("head")).alias("head"), "pos", "id")
+    known = pieces(encoded.sparkSession, path).select(F.col("id").alias("_id"), "piece")
+    each = each.join(F.broadcast(known), F.col("id") == F.col("_id"), "left").select("head", "pos", "id", "piece")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def rows():
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            starts = np.flatnonzero(t.column("head").is_valid().to_numpy(zero_copy_only=False))
+            pos = t.column("pos").fill_null(0).to_numpy(zero_copy_only=False)
+            sizes = np.diff(np.r_[starts, t.num_rows])
+            if not np.array_equal(pos, np.arange(t.num_rows) - np.repeat(starts, sizes)):
+                raise ValueError("ids out of order after their join")
+            lost = pc.filter(t.column("id"), pc.and_(t.column("id").is_valid(), t.column("piece").is_null()))
+            if len(lost):
+                raise ValueError(f"no piece for id {lost[0]}")
+            head, none = t.column("head").take(pa.array(starts)), t.column("id").is_null().to_numpy(zero_copy_only=False)
+            before = np.r_[0, np.cumsum(~none)]
+            lists = pa.ListArray.from_arrays(pa.array(before[np.r_[starts, t.num_rows]], pa.int32()), t.column("id").drop_null())
+            raw = t.column("piece").fill_null(b"")
+            ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1][np.r_[starts, t.num_rows]]
+            piece = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), raw.buffers()[2]])
+            return pa.RecordBatch.from_arrays([*(head.field(c) for c in rest), lists, piece], [*rest, ids, out])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = np.flatnonzero(b.column("head").is_valid().to_numpy(zero_copy_only=False))
+            if not len(starts):  # all of one row that began before
+                held.append(b)
+                continue
+            held.append(b.slice(0, starts[-1]))  # the last row of a batch may go on in the next one
+            if sum(h.num_rows for h in held):
+                yield rows()
+            held = [b.slice(starts[-1])]
+        if held:
+            yield rows()
+
+    fields = T.StructType([encoded.schema[c] for c in rest] + [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.BinaryType())])
+    return each.mapInArrow(run, fields)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
