@@ -33,8 +33,8 @@ WORD = re.compile(
 )
 #: Distinct words that a task counts before it sends them on.
 FLUSH = 400_000
-#: Words sent to every task, the most frequent ones of at most LONGEST bytes: so at most 64 MB or so for a corpus of any size.
-SENT, LONGEST = 2**18, 48
+#: Words sent to every task, the most frequent ones of at most LONGEST bytes: so at most 160 MB for a corpus of any size, 16 MB or so for prose.
+SENT, LONGEST = 2**19, 48
 #: Words and documents of a chunk, which is one row until its ids come back.
 CHUNK_WORDS, CHUNK_DOCS = 2**18, 2000
 WORD_COLUMNS = "word string, n long"
@@ -205,40 +205,49 @@ def kept(name: str, sent) -> tuple[dict[str, int], Words]:
     return _KEPT[name]
 
 
-def chunks(docs: DataFrame, name: str, sent) -> DataFrame:
-    """chunk, doc_ids, sizes (words of each document), codes, rare: documents in order as numbers of words, those below the
-    number of sent words first; beyond are the chunk's other words, each once in rare."""
+def chunks(docs: DataFrame, name: str, sent, others: bool) -> DataFrame:
+    """chunk, doc_ids, sizes (words of each document), codes, n_others: documents in order as numbers of words, those sent
+    first; beyond are the chunk's other words, each with one number. With others: chunk, slot, word for these instead."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, _ = kept(name, sent)
-        part, k = TaskContext.get().partitionId() << 32, 0
+        chunk, total = TaskContext.get().partitionId() << 32, 0
         ids, sizes, codes, rare = [], [], [], {}
 
         def row(kind):
+            if others:
+                n = len(rare)
+                return pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(list(rare), pa.string())], ["chunk", "slot", "word"])
             planes = np.array(codes, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-            cells = [[part + k], [ids], [sizes], [pa.compress(planes, codec="zstd", asbytes=True)], [list(rare)]]
-            types = [pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], ["chunk", "doc_ids", "sizes", "codes", "rare"])
+            cells = [[chunk], [ids], [sizes], [pa.compress(planes, codec="zstd", asbytes=True)], [len(rare)]]
+            types = [pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.binary(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], ["chunk", "doc_ids", "sizes", "codes", "n_others"])
 
         kind = None
         for b in batches:
             kind = b.schema.field(0).type
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words = WORD.findall(text.as_py() or "")
-                got = list(map(known.get, words))
-                if None in got:
-                    got = [rare.setdefault(w, len(known) + len(rare)) if c is None else c for w, c in zip(words, got, strict=True)]
+                if others:
+                    for w in words:
+                        if w not in known:
+                            rare.setdefault(w)
+                else:
+                    got = list(map(known.get, words))
+                    if None in got:
+                        got = [rare.setdefault(w, len(known) + len(rare)) if c is None else c for w, c in zip(words, got, strict=True)]
+                    codes += got
+                    sizes.append(len(words))
                 ids.append(doc_id)
-                sizes.append(len(got))
-                codes += got
-                if len(codes) >= CHUNK_WORDS or len(ids) >= CHUNK_DOCS:
+                total += len(words)
+                if total >= CHUNK_WORDS or len(ids) >= CHUNK_DOCS:
                     yield row(kind)
-                    k += 1
+                    chunk, total = chunk + 1, 0
                     ids, sizes, codes, rare = [], [], [], {}
         if ids:
             yield row(kind)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"chunk long, doc_ids array<{kind}>, sizes array<int>, codes binary, rare array<string>")
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, slot int, word string" if others else f"chunk long, doc_ids array<{kind}>, sizes array<int>, codes binary, n_others int")
 
 
 def assembled(rows: DataFrame, name: str, sent, kind: str) -> DataFrame:
@@ -248,7 +257,7 @@ def assembled(rows: DataFrame, name: str, sent, kind: str) -> DataFrame:
             for i in range(b.num_rows):
                 r = b.slice(i, 1)
                 words = kept(name, sent)[1]
-                want, found = r.column("n_rare")[0].as_py(), r.column("found").flatten()
+                want, found = r.column("n_others")[0].as_py(), r.column("found").flatten()
                 if len(found) != want:
                     raise ValueError(f"{len(found)} of {want} words of a chunk found")
                 if want:
@@ -267,7 +276,7 @@ def assembled(rows: DataFrame, name: str, sent, kind: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(cut(ends), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([r.column("doc_ids").flatten(), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return rows.select("doc_ids", "sizes", "codes", F.size("rare").alias("n_rare"), "found").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+    return rows.select("doc_ids", "sizes", "codes", "n_others", "found").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
 
 
 def encode_and_decode(docs: DataFrame, *, path: str | None = None, sent_words: int = SENT) -> DataFrame:
@@ -292,9 +301,8 @@ def encode_and_decode(docs: DataFrame, *, path: str | None = None, sent_words: i
     with pa.ipc.new_stream(sink, t.schema) as out:
         out.write_table(t)
     name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    each = chunks(docs, name, sent).select("chunk", F.posexplode("rare").alias("slot", "word"))
-    found = each.join(words.where(~often).select("word", "ids", "piece"), "word").groupBy("chunk").agg(F.collect_list(F.struct("slot", "ids", "piece")).alias("found"))
-    rows = chunks(docs, name, sent).join(found, "chunk", "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
+    found = chunks(docs, name, sent, True).join(words.where(~often).select("word", "ids", "piece"), "word").groupBy("chunk").agg(F.collect_list(F.struct("slot", "ids", "piece")).alias("found"))
+    rows = chunks(docs, name, sent, False).join(found, "chunk", "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
     return assembled(rows, name, sent, docs.schema["doc_id"].dataType.simpleString())
 
 
