@@ -77,8 +77,6 @@ def test_network(spark):
     w = cnn.new_weights(20, 5, 8, 6)
     a, b = np.array([3, 4, 5]), np.array([7])
     assert np.allclose(cnn.forward(w, np.r_[a, b], np.array([0, 3])), np.concatenate([naive(w, a), naive(w, b)]), atol=1e-5)
-    assert np.allclose(cnn.forward_rows(w, w["embedding"][np.r_[a, b]], np.array([0, 3, 3])), cnn.forward(w, np.r_[a, b], np.array([0, 3])), atol=1e-5)
-    assert cnn.forward_rows(w, np.zeros((0, 8), np.float32), np.zeros(1, np.int64)).shape == (0, 5)
     back = cnn.from_table(cnn.to_table(spark, w))
     assert all(np.array_equal(back[k], w[k]) for k in w)
     df = spark.createDataFrame([(1, [3, 4, 5]), (2, [7]), (3, []), (4, None)], "id long, word_ids array<long>")
@@ -119,7 +117,14 @@ def test_messages(spark):
     assert "&lt;" in page["a"] and page["b"] == ""
 
 
-def test_too_much_to_train_on(spark):
-    d = spark.createDataFrame([([1, 2], [0, 0])], "w array<long>, t array<long>")
-    with pytest.raises(ValueError, match="at most 1"):
-        cnn.collected(d, "w", "t", most=1)
+@pytest.mark.parametrize("written_out", [0, 10**6])
+def test_taps_equal_the_network(spark, written_out, monkeypatch):
+    monkeypatch.setattr(cnn, "WRITTEN_OUT", written_out)
+    w = cnn.new_weights(20, 5, 8, 6)
+    layers = {k: v for k, v in w.items() if k != "embedding"}
+    embedding = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(w["embedding"])], "word_id long, vector array<float>, left string")
+    sents = {1: [3, 4, 5, 3], 2: [7], 3: [0, 19]}
+    t = spark.createDataFrame([(k, i, x) for k, s in sents.items() for i, x in enumerate(s)], "id long, tok_idx long, word_id long")
+    got = {(r.id, r.tok_idx): r.logits for r in cnn.scored(t, cnn.tap_rows(embedding, layers), layers, "id").collect()}
+    for k, s in sents.items():
+        assert np.allclose([got[k, i] for i in range(len(s))], naive(w, s), atol=1e-5)

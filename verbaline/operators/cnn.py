@@ -1,22 +1,25 @@
-"""The convolutional tagger: embedding, three-tap convolution, ReLU, linear layer. Trained and applied in numpy.
+"""The convolutional tagger: embedding, three-tap convolution, ReLU, linear layer. It is trained in training.py.
 
 A tag depends on three words only, and the convolution is linear in the embedding; so each word's contribution to the
-left, middle and right tap is a table made once per task, and scoring adds three rows. Edges of a sentence count as
+left, middle and right tap is a row of a table by word, and scoring adds three of them. Edges of a sentence count as
 zeros, as in a batch of one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EMBED, FILTERS, TAPS = 128, 64, 3
-#: Tokens that training collects on the driver at most; the trainer refuses more rather than dropping any.
-MOST_TOKENS = 5_000_000
+#: Products up to which a layer is written out in columns; beyond, it is a matrix product on Arrow batches.
+WRITTEN_OUT = 512
 NAMES = ("embedding", "conv.weight", "conv.bias", "fc.weight", "fc.bias")
 
 
@@ -50,17 +53,6 @@ def forward(w: dict[str, np.ndarray], ids: np.ndarray, start: np.ndarray, t: np.
     return h @ w["fc.weight"].T + w["fc.bias"]
 
 
-def forward_rows(w: dict[str, np.ndarray], x: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """forward for the tokens' own rows of the embedding (tokens, D) in place of their ids; w needs the other layers only."""
-    left, mid, right = np.einsum("nd,fdk->knf", x, w["conv.weight"])
-    h = mid + w["conv.bias"]
-    inner = np.ones((len(x), 1), bool)
-    inner[start[start < len(x)]] = False  # a first token has none before it, and the one before that none after it
-    h[1:] += left[:-1] * inner[1:]
-    h[:-1] += right[1:] * inner[1:]
-    return np.maximum(h, 0) @ w["fc.weight"].T + w["fc.bias"]
-
-
 def to_table(spark: SparkSession, w: dict[str, np.ndarray]) -> DataFrame:
     """(name, shape, values): weights as rows, for Parquet."""
     rows = [(k, list(v.shape), v.ravel().tolist()) for k, v in w.items()]
@@ -72,44 +64,57 @@ def from_table(df: DataFrame) -> dict[str, np.ndarray]:
     return {r.name: np.asarray(r["values"], np.float32).reshape(r.shape) for r in df.where(F.col("name").isin(*NAMES)).collect()}
 
 
-def logits_udf(spark: SparkSession, w: dict[str, np.ndarray]):
-    """Column function: array of word ids of a sentence -> array of arrays of logits."""
-    sent = spark.sparkContext.broadcast(w)
+def _sum(terms: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = tables(sent.value)
-        for s in parts:
-            n = np.array([0 if x is None else len(x) for x in s])
-            ids = np.concatenate([np.asarray(x, np.int64) for x in s if x is not None] or [np.zeros(0, np.int64)])
-            out = forward(sent.value, ids, np.cumsum(n) - n, t)
-            yield pd.Series([list(x) for x in np.split(out, np.cumsum(n)[:-1])] if len(s) else [], index=s.index)
 
-    return F.pandas_udf(run, "array<array<float>>")
+def tap_rows(embedding: DataFrame, layers: dict[str, np.ndarray], *keep: str) -> DataFrame:
+    """keep, word_id, as_left, as_mid, as_right from (word_id, vector, ...): what a word adds to the convolution of the token after it,
+    its own and the one before it. One row a word, so a vocabulary may be of any size."""
+    w = layers["conv.weight"]
+    names = ["as_left", "as_mid", "as_right"]
+    if w.size <= WRITTEN_OUT:
+        taps = (F.array(*(_sum([F.get("vector", F.lit(d)).cast("double") * float(w[f, d, k]) for d in range(w.shape[1])]) for f in range(w.shape[0]))).alias(n) for k, n in enumerate(names))
+        return embedding.select(*keep, "word_id", *taps)
+    sent = embedding.sparkSession.sparkContext.broadcast(w)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = np.einsum("vd,fdk->kvf", b.column("vector").flatten().to_numpy().reshape(b.num_rows, -1), sent.value).astype(float)
+            ends = pa.array(np.arange(b.num_rows + 1) * t.shape[2], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in t)], [*keep, "word_id", *names])
 
-def embed(encoded: DataFrame, embedding: DataFrame) -> DataFrame:
-    """encoded with vector, from an embedding of one row (word_id, vector) for every id. It grows with the vocabulary, so whether
-    it is broadcast is left to its measured size."""
-    return encoded.join(embedding.select("word_id", "vector"), "word_id")
+    fields = T.StructType([*(embedding.schema[c] for c in keep), T.StructField("word_id", T.LongType()), *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in names)])
+    return embedding.select(*keep, "word_id", "vector").mapInArrow(run, fields)
 
 
-def rows_udf(spark: SparkSession, w: dict[str, np.ndarray], best: bool = False):
-    """As logits_udf, or first_best_udf if best, for sentences of embedding rows, laid end to end in one array each. The rows
-    come to the tokens by a join, so a vocabulary may be of any size: only the other layers are sent."""
-    sent = spark.sparkContext.broadcast({k: v for k, v in w.items() if k != "embedding"})
-    width = w["conv.weight"].shape[1]
+def scored(tokens: DataFrame, taps: DataFrame, layers: dict[str, np.ndarray], key: str, on: str = "word_id") -> DataFrame:
+    """tokens (key, tok_idx, on, ...) with logits: tokens meet their words' taps in one join, and their neighbours' in a window.
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            n = np.array([0 if x is None else len(x) // width for x in s], np.int64)
-            x = np.concatenate([np.asarray(x, np.float32) for x in s if x is not None] or [np.zeros(0, np.float32)]).reshape(-1, width)
-            out = forward_rows(sent.value, x, np.cumsum(n) - n)
-            if best:
-                out = np.nan_to_num(out, nan=-np.inf).argmax(axis=1)
-            cut = np.split(out, np.cumsum(n)[:-1]) if len(s) else []
-            yield pd.Series(cut if best else [list(c) for c in cut], index=s.index)
+    The table of taps grows with the vocabulary, so whether it is broadcast is left to its measured size. Tokens whose
+    word has no taps are left out, as are null words; keys tell sentences apart.
+    """
+    names = ["as_left", "as_mid", "as_right"]
+    zero = F.array_repeat(F.lit(0.0), len(layers["conv.bias"]))
+    w = Window.partitionBy(key).orderBy("tok_idx")
+    met = tokens.join(taps.select(F.col(on).alias("_on"), *names), tokens[on] == F.col("_on"))
+    near = met.select(*tokens.columns, F.coalesce(F.lag("as_left").over(w), zero).alias("_l"), F.col("as_mid").alias("_m"), F.coalesce(F.lead("as_right").over(w), zero).alias("_r"))
+    h = F.zip_with(F.zip_with("_l", "_m", lambda a, b: a + b), "_r", lambda a, b: a + b)
+    h = F.zip_with(h, F.array(*map(F.lit, map(float, layers["conv.bias"]))), lambda a, b: F.greatest(a + b, F.lit(0.0)))
+    return near.select(*tokens.columns, h.alias("_h")).select(*tokens.columns, linear("_h", layers["fc.weight"], layers["fc.bias"]).alias("logits"))
+
+
+def linear(h: str, weight: np.ndarray, bias: np.ndarray) -> Column:
+    """array<double>: weight times the column h, plus bias."""
+    if weight.size <= WRITTEN_OUT:
+        return F.array(*(_sum([F.get(h, F.lit(f)) * float(x) for f, x in enumerate(row)]) + float(b) for row, b in zip(weight, bias, strict=True)))
 
-    return F.pandas_udf(run, "array<long>" if best else "array<array<float>>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            z = part.flatten().to_numpy().reshape(len(part), -1) @ weight.T.astype(float) + bias
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * len(bias), pa.int32()), pa.array(z.ravel()))
+
+    return F.arrow_udf(run, "array<double>")(F.col(h))
 
 
 def first_best_udf(spark: SparkSession, w: dict[str, np.ndarray]):
@@ -159,49 +164,14 @@ def step(w: dict[str, np.ndarray], sents: list[tuple[np.ndarray, np.ndarray]]) -
     loss = float(-np.log(np.maximum(p[rows, y[rows]], 1e-30)).sum() / m)
     d = p.copy()
     d[rows, y[rows]] -= 1
-    d = (d * real[:, None] / m).astype(np.float32)
+    d = (d * real[:, None] / m).astype(w["fc.weight"].dtype)
     dh = (d @ w["fc.weight"]) * (h > 0)
     g = {"fc.weight": d.T @ h, "fc.bias": d.sum(axis=0), "conv.bias": dh.sum(axis=0)}
     near = np.stack([left, ids, right])
-    e = np.concatenate([w["embedding"], np.zeros((1, w["embedding"].shape[1]), np.float32)])
+    e = np.concatenate([w["embedding"], np.zeros((1, w["embedding"].shape[1]), w["embedding"].dtype)])
     g["conv.weight"] = np.stack([dh.T @ e[near[k]] for k in range(TAPS)], axis=2)
     ge = np.zeros_like(e)
     for k in range(TAPS):
         np.add.at(ge, near[k], dh @ w["conv.weight"][:, :, k])
     g["embedding"] = ge[:-1]
     return loss, z, g
-
-
-def train(train_set: list, test_set: list, words: int, tags: int, *, epochs: int = 10, batch: int = 32, rate: float = 0.001, embed: int = EMBED, filters: int = FILTERS, seed: int = 0) -> tuple[dict[str, np.ndarray], list[tuple[int, float, float]]]:
-    """Weights, and for each epoch (epoch, mean of batch losses, mean of batch accuracies on the test set)."""
-    w, rng, history = new_weights(words, tags, embed, filters, seed), np.random.default_rng(seed), []
-    mean = {k: np.zeros_like(v) for k, v in w.items()}
-    square, t = {k: np.zeros_like(v) for k, v in w.items()}, 0
-    for epoch in range(1, epochs + 1):
-        order, losses = rng.permutation(len(train_set)), []
-        for lo in range(0, len(order), batch):
-            loss, _, g = step(w, [train_set[i] for i in order[lo : lo + batch]])
-            losses.append(loss)
-            t += 1
-            for k, v in g.items():
-                mean[k] = 0.9 * mean[k] + 0.1 * v
-                square[k] = 0.999 * square[k] + 0.001 * v * v
-                w[k] = (w[k] - rate * (mean[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-        scores = []
-        for lo in range(0, len(test_set), batch):
-            part = test_set[lo : lo + batch]
-            n = np.array([len(x) for x, _ in part])
-            y = np.concatenate([s[1] for s in part])
-            best = forward(w, np.concatenate([s[0] for s in part]).astype(np.int64), np.cumsum(n) - n).argmax(axis=1)
-            if (y >= 0).any():
-                scores.append(float((best == y)[y >= 0].mean()))
-        history.append((epoch, float(np.mean(losses)) if losses else 0.0, float(np.mean(scores)) if scores else 0.0))
-    return w, history
-
-
-def collected(sentences: DataFrame, words: str, tags: str, most: int = MOST_TOKENS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Encoded sentences on the driver, where training runs; refuses more than `most` tokens."""
-    n = sentences.agg(F.coalesce(F.sum(F.size(words)), F.lit(0))).first()[0]
-    if n > most:
-        raise ValueError(f"{n} tokens to train on; at most {most} are collected")
-    return [(np.asarray(r[0], np.int64), np.asarray(r[1], np.int64)) for r in sentences.select(words, tags).collect() if r[0]]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from verbaline.functions import hashing, registry, tags
 from verbaline.functions.rules import peel
 from verbaline.functions.text import SPACE, web_tokens
-from verbaline.operators import cnn, features, tokens, vocab
+from verbaline.operators import cnn, features, tokens, training, vocab
 from verbaline.plans import oracle
 from verbaline.sources import conllu, vocab_json
 from verbaline.streaming import tagger
@@ -258,6 +258,10 @@ def trigram_contexts(spark, sf_dir):
     return tri.groupBy("left_id", "mid_id", "right_id").agg(F.count("*").alias("n"))
 
 
+#: How far cnn_step goes: so far that the gradients of rare words show in six decimals.
+STEP_RATE = oracle.STEP_RATE
+
+
 def whole_number_net() -> dict[str, np.ndarray]:
     """A small net with whole-number weights by formula, whose results are exact in any engine; all layers but the embedding."""
     d, f, t, k = np.arange(4), np.arange(3), np.arange(5), np.arange(3)
@@ -272,26 +276,22 @@ def whole_number_embedding(words: DataFrame) -> DataFrame:
     return words.withColumn("vector", F.array(*((F.col("word_id") * d % 5 - 2).cast("float") for d in range(1, 5))))
 
 
-def _labelled(spark, sf_dir):
-    """doc_id, word_ids, vectors (end to end), labels (-1 where masked) of each document."""
-    t = web(spark, sf_dir)
-    v = vocab.word_vocab(t)
-    e = cnn.embed(vocab.encode(t, v), whole_number_embedding(v))
-    label = F.when(F.col("tok_idx") % 10 == 9, -1).otherwise((F.col("tok_idx") + F.length("token")) % 5).cast("long")
-    s = _sentences(e.withColumn("label", label), "doc_id", "word_id", "vector", "label")
-    return s.withColumn("vectors", F.flatten("vectors"))
+def _labels(t: DataFrame) -> DataFrame:
+    """Tokens with a label by a formula, -1 where masked."""
+    return t.withColumn("label", F.when(F.col("tok_idx") % 10 == 9, -1).otherwise((F.col("tok_idx") + F.length("token")) % 5).cast("long"))
 
 
-def _predicted(spark, sf_dir):
-    """doc_id, tok_idx, label, pred: the tag is chosen beside the net, so that one number a token comes back."""
-    s = _labelled(spark, sf_dir).withColumn("preds", cnn.rows_udf(spark, whole_number_net(), best=True)(F.col("vectors")))
-    return s.select("doc_id", F.posexplode(F.arrays_zip("labels", "preds")).alias("tok_idx", "x")).select("doc_id", F.col("tok_idx").cast("long"), F.col("x.labels").alias("label"), F.col("x.preds").alias("pred"))
+def _scored(spark, sf_dir):
+    """doc_id, tok_idx, label, logits of the whole-number net: the vocabulary meets the net first, so tokens are joined once."""
+    t = web(spark, sf_dir)
+    net = whole_number_net()
+    taps = cnn.tap_rows(whole_number_embedding(vocab.word_vocab(t)), net, "word")
+    return cnn.scored(_labels(t).withColumnRenamed("token", "word"), taps, net, "doc_id", on="word").select("doc_id", "tok_idx", "label", "logits")
 
 
-def _scored(spark, sf_dir):
-    """doc_id, tok_idx, word_id, label, logits of the whole-number net."""
-    s = _labelled(spark, sf_dir).withColumn("logits", cnn.rows_udf(spark, whole_number_net())(F.col("vectors")))
-    return s.select("doc_id", F.posexplode(F.arrays_zip("word_ids", "labels", "logits")).alias("tok_idx", "x")).select("doc_id", F.col("tok_idx").cast("long"), F.col("x.word_ids").alias("word_id"), F.col("x.labels").alias("label"), F.col("x.logits").alias("logits"))
+def _predicted(spark, sf_dir):
+    """doc_id, tok_idx, label, pred."""
+    return _scored(spark, sf_dir).select("doc_id", "tok_idx", "label", vocab.argmax(F.col("logits")).alias("pred"))
 
 
 def conv_int_logits(spark, sf_dir):
@@ -383,14 +383,27 @@ def message_loop(spark, sf_dir):
     return out.select("request_id", "type", F.array_join("tags", " ").alias("tags"), "error")
 
 
+def cnn_step(spark, sf_dir):
+    """The whole-number net after one step of its loss over all documents at once: every number of every word and of every layer
+    (word_id -1), and the loss before the step."""
+    t = _labels(web(spark, sf_dir))
+    v = vocab.word_vocab(t)
+    s = _sentences(vocab.encode(t, v), "doc_id", "word_id", "label").select("doc_id", "word_ids", F.col("labels").alias("tag_ids"))
+    net = {k: x.astype(float) for k, x in whole_number_net().items()}
+    moved, layers, loss = training.plain_step(s, whole_number_embedding(v), net, rate=STEP_RATE, key="doc_id")
+    rows = [("loss", -1, 0, loss)] + [(k, -1, i, float(x)) for k, y in layers.items() for i, x in enumerate(y.ravel())]
+    words = moved.select(F.lit("embedding").alias("name"), "word_id", F.posexplode("vector").alias("pos", "value"))
+    out = spark.createDataFrame(rows, "name string, word_id long, pos int, value double").unionByName(words)
+    return out.select("name", "word_id", F.col("pos").cast("long"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
 def cnn_train(spark, sf_dir):
     """Loss and accuracy of each epoch of a tagger trained on all benchmark items but every fifth, and tested on those."""
     t = tokens.web_token_table(table(spark, sf_dir, "benchmark"), "item_id").withColumn("tag", tags.pick((F.length("token") % 50).cast("int"), [x for x, _ in tags.LABELS]))
     train = t.where("item_id % 5 <> 0")
     words, names = vocab.word_vocab(train), vocab.tag_vocab(t)
-    e = vocab.encode_tags(vocab.encode(t, words), names)
-    sets = [cnn.collected(_sentences(e.where(f"item_id % 5 {op} 0"), "item_id", "word_id", "tag_id").orderBy("item_id"), "word_ids", "tag_ids") for op in ("<>", "=")]
-    _, history = cnn.train(*sets, words.count(), names.count(), epochs=5, batch=8)
+    s = _sentences(vocab.encode_tags(vocab.encode(t, words), names), "item_id", "word_id", "tag_id")
+    _, _, history = training.train(s.where("item_id % 5 <> 0"), s.where("item_id % 5 = 0"), words, names.count(), key="item_id", epochs=5, batch=64)
     return spark.createDataFrame(history, "epoch int, loss double, accuracy double")
 
 
@@ -399,7 +412,7 @@ def queries() -> dict:
         web_token_counts, vocab_map, tag_map, encode_unk, oov_words, strict_tag_check, dataset_stats, ws_runs, spacy_flags, affix_peel, rule_tokens, url_rule_tokens, rule_token_counts, sql_functions,
         byte_offsets, doc_buffer_size, doc_buffer_md5, upos_base, upos_resolved, upos_raw_compat, upos_counts, noun_verb_wh_flags, sentence_feats_literal, wh_question_count, head_tokens,
         conllu_roundtrip, conllu_filter_ids, conllu_files, vocab_json_roundtrip, tag_map_invert, batch_assignment, batch_shuffle, pad_batches, trigram_contexts, conv_int_logits, argmax_first, masked_accuracy, batch_mean_accuracy,
-        cross_entropy, epoch_loss, decode_tags, weights_roundtrip, render_html, stream_infer, message_loop, murmur2a_parts, cnn_train,
+        cross_entropy, epoch_loss, decode_tags, weights_roundtrip, render_html, stream_infer, message_loop, murmur2a_parts, cnn_step, cnn_train,
     )
     out = {"encode_documents": entry, "web_tokens": web} | {f.__name__: f for f in plain}
     return out | {f"{n}_words": _hashed(n) for n in hashing.HASHES}

@@ -194,6 +194,9 @@ SELECT word, (CASE WHEN h >= 9223372036854775808 THEN h::HUGEINT - {ALL64} ELSE
 
 
 # The whole-number net.
+STEP_RATE = 100.0
+
+
 def _e(w: str, j: int) -> str:
     return f"coalesce({w} * {j + 1} % 5 - 2, 0)"
 
@@ -215,6 +218,27 @@ net AS (SELECT doc_id, tok_idx, label, [{', '.join(_z(t) for t in range(5))}] AS
 pred AS (SELECT *, list_position(z, list_max(z)) - 1 AS pred, doc_id // 32 AS batch_id FROM net),
 loss AS (SELECT batch_id, ln(list_sum(list_transform(z, lambda v: exp(v - list_max(z))))) + list_max(z) - z[label::INT + 1] AS loss FROM pred WHERE label >= 0)"""
 
+
+
+def _step() -> str:
+    """The net of NET after one step down the mean gradient: softmax less the label, back through each layer."""
+    w = lambda t, f: (2 * t + f) % 3 - 1
+    c = lambda f, d, k: (f + 2 * d + 3 * k) % 3 - 1
+    dh = lambda f: f"(CASE WHEN h{f} > 0 THEN {' + '.join(f'd{t} * ({w(t, f)})' for t in range(5))} ELSE 0 END)"
+    of = {0: "l", 1: "word_id", 2: "r"}
+    layers = [("fc.bias", t, t % 2, f"d{t}") for t in range(5)] + [("fc.weight", 3 * t + f, w(t, f), f"d{t} * h{f}") for t in range(5) for f in range(3)]
+    layers += [("conv.bias", f, f - 1, f"g{f}") for f in range(3)] + [("conv.weight", 12 * f + 3 * d + k, c(f, d, k), f"g{f} * {_e(of[k], d)}") for f in range(3) for d in range(4) for k in range(3)]
+    one = [f"SELECT {q(n)} AS name, -1::BIGINT AS word_id, {i} AS pos, {old} - {STEP_RATE} * sum({x}) / any_value(n) AS value FROM b2" for n, i, old, x in layers]
+    per = [f"SELECT {of[k]} AS word_id, {d} AS pos, {' + '.join(f'g{f} * ({c(f, d, k)})' for f in range(3))} AS g, n FROM b2 WHERE {of[k]} IS NOT NULL" for k in range(3) for d in range(4)]
+    return f"""WITH {NET}, b0 AS (SELECT n0.*, n1.label, h0, h1, h2, z, count(*) OVER () AS n FROM n0 JOIN n1 USING (doc_id, tok_idx) JOIN net USING (doc_id, tok_idx) WHERE n1.label >= 0),
+b1 AS MATERIALIZED (SELECT *, {', '.join(f"exp(z[{t + 1}] - list_max(z)) / list_sum(list_transform(z, lambda v: exp(v - list_max(z)))) - (label = {t})::INT AS d{t}" for t in range(5))} FROM b0),
+b2 AS MATERIALIZED (SELECT *, {', '.join(f'{dh(f)} AS g{f}' for f in range(3))} FROM b1),
+per AS (SELECT word_id, pos, sum(g) / any_value(n) AS g FROM ({' UNION ALL '.join(per)}) GROUP BY word_id, pos)
+SELECT name, word_id, pos::BIGINT AS pos, round(value, 6) + 0.0::DOUBLE AS value FROM ({' UNION ALL '.join(one)}
+UNION ALL SELECT 'embedding', v.word_id, d, v.word_id * (d + 1) % 5 - 2 - {STEP_RATE} * coalesce(per.g, 0) FROM vocab v, range(4) a(d) LEFT JOIN per ON per.word_id = v.word_id AND per.pos = d
+UNION ALL SELECT 'loss', -1, 0, avg(ln(list_sum(list_transform(z, lambda v: exp(v - list_max(z))))) + list_max(z) - z[label::INT + 1]) FROM b1)"""
+
+
 TURNS = f"turns AS (SELECT conv_id * 1000 + turn AS sent_id, unnest(range(len(t))) AS tok_idx, unnest(t) AS token FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), {q(WEB_TOKEN)}) AS t FROM conversations))"
 INFER = f"""inf AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS request_id, text, regexp_extract_all(lower(text), {q(WEB_TOKEN)}) AS words FROM conversations),
 tagged AS (SELECT *, list_transform(words, lambda w: ([{', '.join(map(q, LABELS))}])[(length(w) % 50)::INT + 1]) AS tags FROM inf)"""
@@ -271,7 +295,8 @@ SELECT d.doc_id, md5(unhex({le32('strlen(text)')} || hex(encode(text)) || {le32(
         "noun_verb_wh_flags": f"WITH {ANN} SELECT doc_id, count(*) FILTER (tag IN ({', '.join(map(q, tags.NOUNS))})) AS nouns, count(*) FILTER (tag IN ({VERBS})) AS verbs, count(*) FILTER (tag IN ({WH})) AS wh_words FROM ann GROUP BY doc_id",
         "sentence_feats_literal": f"WITH {CTX} SELECT doc_id, count(*) FILTER (st AND NOT wh AND NOT aux) AS feats FROM c2 GROUP BY doc_id",
         "wh_question_count": f"WITH {CTX} SELECT doc_id, count(*) FILTER (st AND wh AND aux) AS wh_questions FROM c2 GROUP BY doc_id",
-        "head_tokens": f"WITH {ANN.replace('web AS (', 'web AS MATERIALIZED (').replace('ann AS (', 'ann AS MATERIALIZED (')} SELECT a.doc_id, a.tok_idx, h.token AS head_token, h.tag AS head_tag FROM ann a LEFT JOIN ann h ON h.doc_id = a.doc_id AND h.tok_idx = a.tok_idx // 2",
+        "head_tokens": f"""WITH {ANN}, lists AS (SELECT doc_id, list(token ORDER BY tok_idx) AS ts, list(tag ORDER BY tok_idx) AS gs FROM ann GROUP BY doc_id)
+SELECT doc_id, i AS tok_idx, ts[i // 2 + 1] AS head_token, gs[i // 2 + 1] AS head_tag FROM (SELECT doc_id, ts, gs, unnest(range(len(ts))) AS i FROM lists)""",
         "conllu_roundtrip": f"WITH {ANN} SELECT doc_id, tok_idx, token AS form, tag AS xpos FROM ann",
         "conllu_filter_ids": f"WITH {ANN} SELECT doc_id, tag AS xpos, count(*) AS n FROM ann WHERE tok_idx % 7 <> 3 AND tok_idx % 11 <> 5 GROUP BY ALL",
         "conllu_files": f"WITH {ANN} SELECT token AS form, tag AS xpos, count(*) AS n, max(tok_idx) AS last_idx FROM ann GROUP BY ALL",
@@ -289,6 +314,7 @@ SELECT sent_id, batch_id, array_to_string(list_concat(ids, list_transform(range(
         "batch_mean_accuracy": f"WITH {NET}, p AS (SELECT batch_id, count(*) FILTER (pred = label) AS r, count(*) FILTER (label >= 0) AS n FROM pred GROUP BY batch_id) SELECT round(avg(r / n), 6) AS batch_mean, round(sum(r) / sum(n), 6) AS token_mean FROM p",
         "cross_entropy": f"WITH {NET} SELECT batch_id, round(avg(loss), 6) AS loss FROM loss GROUP BY batch_id",
         "epoch_loss": f"WITH {NET} SELECT round(avg(l), 6) AS epoch_loss FROM (SELECT avg(loss) AS l FROM loss GROUP BY batch_id)",
+        "cnn_step": _step(),
         "decode_tags": f"WITH {NET} SELECT {pick('pred', tags.SHIPPED[:5])} AS tag, count(*) AS n FROM pred GROUP BY ALL",
         "weights_roundtrip": f"""WITH {WEB}, {vocab('web')}, v AS (SELECT count(*) AS n FROM vocab)
 SELECT 'embedding' AS name, n::VARCHAR || ' 4' AS shape, n * 4 AS n, (SELECT sum(w * j % 5 - 2) FROM range(0, (SELECT n FROM v)) a(w), range(1, 5) b(j))::DOUBLE AS total FROM v
