@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verbaline.functions import hashing, registry, tags
-from verbaline.functions.rules import peel
+from verbaline.functions import hashing, registry, rule_columns, tags
 from verbaline.functions.text import SPACE, web_tokens
 from verbaline.operators import cnn, features, tokens, training, vocab
 from verbaline.plans import oracle
@@ -101,26 +100,19 @@ def url_rule_tokens(spark, sf_dir):
 
 
 def spacy_flags(spark, sf_dir):
-    flags = F.transform("tokens", lambda t: t["spacy"].cast("int"))
-    return tokens.rule_docs(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.aggregate(flags, F.lit(0), lambda a, x: a + x).cast("long").alias("n_spacy"))
+    return table(spark, sf_dir, "documents").select("doc_id", rule_columns.spaced(F.col("text")).alias("n_spacy"))
 
 
 def rule_token_counts(spark, sf_dir):
-    return tokens.rule_docs(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", rule_columns.count(F.col("text")).alias("n_tokens"))
 
 
 def affix_peel(spark, sf_dir):
     """Distinct chunks with what is peeled off them."""
     d = table(spark, sf_dir, "documents")
     chunks = d.select(F.explode(F.regexp_extract_all("text", F.lit(f"[^{SPACE}]+"), 0)).alias("chunk")).distinct()
-
-    def run(parts):
-        for p in parts:
-            got = [peel(c) for c in p.chunk]
-            p["prefixes"], p["core"], p["suffixes"] = ["\x01".join(x[0]) for x in got], [x[1] for x in got], ["\x01".join(x[2]) for x in got]
-            yield p
-
-    return chunks.mapInPandas(run, "chunk string, prefixes string, core string, suffixes string")
+    p = chunks.select("chunk", rule_columns.peeled(F.col("chunk")).alias("p"))
+    return p.select("chunk", F.array_join("p.front", "\x01").alias("prefixes"), "p.core", F.array_join("p.back", "\x01").alias("suffixes"))
 
 
 def byte_offsets(spark, sf_dir):
