@@ -32,9 +32,9 @@ WORD = re.compile(
     rf"|'(?:[stmd]|re|ve|ll)| ?[{LETTER}]++| ?[{DIGIT}]++| ?[^{SPACE}{LETTER}{DIGIT}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 #: Distinct words that a task counts before it sends them on.
-FLUSH = 400_000
-#: Words sent to every task, the most frequent ones of at most LONGEST bytes: so at most 160 MB for a corpus of any size, 16 MB or so for prose.
-SENT, LONGEST = 2**19, 48
+FLUSH = 250_000
+#: Words sent to every task, the most frequent ones of at most LONGEST bytes: so at most 80 MB for a corpus of any size, 8 MB or so for prose.
+SENT, LONGEST = 2**18, 48
 #: Words and documents of a chunk, which is one row until its ids come back.
 CHUNK_WORDS, CHUNK_DOCS = 2**18, 2000
 WORD_COLUMNS = "word string, n long"
@@ -156,7 +156,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def word_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     """word, n, level, ids, piece: every distinct word once, encoded, and decoded again by the join with the pieces. level rises with n."""
     e = word_counts(docs).select("word", "n", F.floor(F.log2("n") * 32).cast("int").alias("level"), encode_udf(path)("word").alias("ids"))
-    return written(decode(e, path), "bpe-words")
+    conf, key = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")  # the counts' shuffle is of no use once the table is written
+    try:
+        return written(decode(e, path), "bpe-words")
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 def sent_level(words: DataFrame, most: int) -> int:
