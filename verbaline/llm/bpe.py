@@ -32,9 +32,9 @@ WORD = re.compile(
     rf"|'(?:[stmd]|re|ve|ll)| ?[{LETTER}]++| ?[{DIGIT}]++| ?[^{SPACE}{LETTER}{DIGIT}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 #: Distinct words that a task counts before it sends them on.
-FLUSH = 250_000
-#: Words sent to every task, the most frequent ones of at most LONGEST bytes: so at most 80 MB for a corpus of any size, 8 MB or so for prose.
-SENT, LONGEST = 2**18, 48
+FLUSH = 200_000
+#: Words sent to every task, the most frequent ones of at most LONGEST bytes: so at most 160 MB for a corpus of any size, 16 MB or so for prose.
+SENT, LONGEST = 2**19, 48
 #: Words and documents of a chunk, which is one row until its ids come back.
 CHUNK_WORDS, CHUNK_DOCS = 2**18, 2000
 WORD_COLUMNS = "word string, n long"
@@ -198,24 +198,25 @@ def gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np
     return flat[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
-#: What a worker keeps between its tasks: the words sent last.
-_KEPT: dict[str, tuple[dict[str, int], Words]] = {}
+#: What a worker keeps between its tasks of the words sent last: their numbers where documents are split, what they stand for where
+#: they are put together.
+_KEPT: dict[tuple[str, bool], dict[str, int] | Words] = {}
 
 
-def kept(name: str, sent) -> tuple[dict[str, int], Words]:
-    if name not in _KEPT:
+def kept(name: str, sent, numbers: bool) -> dict[str, int] | Words:
+    if (name, numbers) not in _KEPT:
         t = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
-        _KEPT.clear()
         one = lambda c: t[c].chunk(0) if t[c].num_chunks else pa.array([], t.schema.field(c).type)
-        _KEPT[name] = {w: i for i, w in enumerate(t["word"].to_pylist())}, Words(one("ids"), one("piece"))
-    return _KEPT[name]
+        _KEPT.clear()
+        _KEPT[name, numbers] = {w: i for i, w in enumerate(t["word"].to_pylist())} if numbers else Words(one("ids"), one("piece"))
+    return _KEPT[name, numbers]
 
 
 def chunks(docs: DataFrame, name: str, sent, others: bool) -> DataFrame:
     """chunk, doc_ids, sizes (words of each document), codes, n_others: documents in order as numbers of words, those sent
     first; beyond are the chunk's other words, each with one number. With others: chunk, slot, word for these instead."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, _ = kept(name, sent)
+        known = kept(name, sent, True)
         chunk, total = TaskContext.get().partitionId() << 32, 0
         ids, sizes, codes, rare = [], [], [], {}
 
@@ -262,7 +263,7 @@ def assembled(rows: DataFrame, name: str, sent, kind: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1)
-                words = kept(name, sent)[1]
+                words = kept(name, sent, False)
                 want, found = r.column("n_others")[0].as_py(), r.column("found").flatten()
                 if len(found) != want:
                     raise ValueError(f"{len(found)} of {want} words of a chunk found")
