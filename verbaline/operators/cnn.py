@@ -88,16 +88,18 @@ def tap_rows(embedding: DataFrame, layers: dict[str, np.ndarray], *keep: str) ->
     return embedding.select(*keep, "word_id", "vector").mapInArrow(run, fields)
 
 
-def scored(tokens: DataFrame, taps: DataFrame, layers: dict[str, np.ndarray], key: str, on: str = "word_id") -> DataFrame:
+def scored(tokens: DataFrame, taps: DataFrame, layers: dict[str, np.ndarray], key: str, on: str = "word_id", unknown: tuple[list[float], ...] | None = None) -> DataFrame:
     """tokens (key, tok_idx, on, ...) with logits: tokens meet their words' taps in one join, and their neighbours' in a window.
 
     The table of taps grows with the vocabulary, so whether it is broadcast is left to its measured size. Tokens whose
-    word has no taps are left out, as are null words; keys tell sentences apart.
+    word has no taps, or is null, have those of unknown (three lists) and are left out without it; keys tell sentences apart.
     """
     names = ["as_left", "as_mid", "as_right"]
     zero = F.array_repeat(F.lit(0.0), len(layers["conv.bias"]))
     w = Window.partitionBy(key).orderBy("tok_idx")
-    met = tokens.join(taps.select(F.col(on).alias("_on"), *names), tokens[on] == F.col("_on"))
+    met = tokens.join(taps.select(F.col(on).alias("_on"), *names), tokens[on] == F.col("_on"), "left" if unknown else "inner")
+    for n, values in zip(names, unknown or (), strict=False):
+        met = met.withColumn(n, F.coalesce(n, F.array(*map(F.lit, values))))
     near = met.select(*tokens.columns, F.coalesce(F.lag("as_left").over(w), zero).alias("_l"), F.col("as_mid").alias("_m"), F.coalesce(F.lead("as_right").over(w), zero).alias("_r"))
     h = F.zip_with(F.zip_with("_l", "_m", lambda a, b: a + b), "_r", lambda a, b: a + b)
     h = F.zip_with(h, F.array(*map(F.lit, map(float, layers["conv.bias"]))), lambda a, b: F.greatest(a + b, F.lit(0.0)))

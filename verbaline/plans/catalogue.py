@@ -12,7 +12,7 @@ from verbaline.functions.text import SPACE, web_tokens
 from verbaline.operators import cnn, features, tokens, training, vocab
 from verbaline.plans import oracle
 from verbaline.sources import conllu, vocab_json
-from verbaline.streaming import tagger
+from verbaline.streaming import served, tagger
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -375,6 +375,22 @@ def message_loop(spark, sf_dir):
     return out.select("request_id", "type", F.array_join("tags", " ").alias("tags"), "error")
 
 
+def served_loop(spark, sf_dir):
+    """Each conversation a worker of its own over a stream of all turns: it loads one of two models with its second turn (every seventh
+    never does), and tags the others, of which the first has to wait. The models know the words of four fifths of all conversations."""
+    folder = served.new_folder(spark)
+    words = vocab.word_vocab(tokens.web_token_table(table(spark, sf_dir, "conversations").where("conv_id % 5 <> 0"), "conv_id"))
+    for version in (1, 2):
+        net = whole_number_net()
+        net["fc.bias"] = ((np.arange(5) + version - 1) % 2).astype(np.float32)
+        served.save(f"{folder}/models", version, words, whole_number_embedding(words).drop("word"), net, tags.SHIPPED[:5])
+    m = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/conversations.parquet*")
+    kind = F.when((F.col("turn") == 1) & (F.col("conv_id") % 7 != 3), "LOAD").when((F.col("conv_id") + F.col("turn")) % 11 == 10, "PING").otherwise("INFER")
+    m = _turn_messages(m).select(F.col("conv_id").cast("string").alias("worker"), F.col("turn").alias("seq"), "request_id", kind.alias("type"), (1 + F.col("conv_id") % 2).alias("version"), "text")
+    served.serve(m, f"{folder}/models", folder)
+    return served.answered(spark, folder).select("request_id", "type", F.array_join("words", " ").alias("words"), F.array_join("tags", " ").alias("tags"), "error")
+
+
 def cnn_step(spark, sf_dir):
     """The whole-number net after one step of its loss over all documents at once: every number of every word and of every layer
     (word_id -1), and the loss before the step."""
@@ -404,7 +420,7 @@ def queries() -> dict:
         web_token_counts, vocab_map, tag_map, encode_unk, oov_words, strict_tag_check, dataset_stats, ws_runs, spacy_flags, affix_peel, rule_tokens, url_rule_tokens, rule_token_counts, sql_functions,
         byte_offsets, doc_buffer_size, doc_buffer_md5, upos_base, upos_resolved, upos_raw_compat, upos_counts, noun_verb_wh_flags, sentence_feats_literal, wh_question_count, head_tokens,
         conllu_roundtrip, conllu_filter_ids, conllu_files, vocab_json_roundtrip, tag_map_invert, batch_assignment, batch_shuffle, pad_batches, trigram_contexts, conv_int_logits, argmax_first, masked_accuracy, batch_mean_accuracy,
-        cross_entropy, epoch_loss, decode_tags, weights_roundtrip, render_html, stream_infer, message_loop, murmur2a_parts, cnn_step, cnn_train,
+        cross_entropy, epoch_loss, decode_tags, weights_roundtrip, render_html, stream_infer, message_loop, served_loop, murmur2a_parts, cnn_step, cnn_train,
     )
     out = {"encode_documents": entry, "web_tokens": web} | {f.__name__: f for f in plain}
     return out | {f"{n}_words": _hashed(n) for n in hashing.HASHES}

@@ -239,6 +239,22 @@ UNION ALL SELECT 'embedding', v.word_id, d, v.word_id * (d + 1) % 5 - 2 - {STEP_
 UNION ALL SELECT 'loss', -1, 0, avg(ln(list_sum(list_transform(z, lambda v: exp(v - list_max(z))))) + list_max(z) - z[label::INT + 1]) FROM b1)"""
 
 
+def _served() -> str:
+    z = lambda t: f"({_z(t)} - {t % 2} + ({t} + ver - 1) % 2)"
+    known = "(SELECT unnest(words) AS token FROM m WHERE conv_id % 5 <> 0)"
+    return f"""WITH m AS (SELECT row_number() OVER () AS id, conv_id, conv_id::VARCHAR || ':' || turn::VARCHAR AS request_id, text, 1 + conv_id % 2 AS ver, regexp_extract_all(lower(text), {q(WEB_TOKEN)}) AS words,
+  CASE WHEN turn = 1 AND conv_id % 7 <> 3 THEN 'LOAD' WHEN (conv_id + turn) % 11 = 10 THEN 'PING' ELSE 'INFER' END AS kind FROM conversations),
+a AS MATERIALIZED (SELECT * FROM m WHERE kind = 'LOAD' OR kind = 'INFER' AND conv_id IN (SELECT conv_id FROM m WHERE kind = 'LOAD')), {vocab(known)},
+t AS (SELECT id, ver, unnest(range(len(words))) AS tok_idx, unnest(words) AS token FROM a WHERE kind = 'INFER'),
+e AS (SELECT id, ver, tok_idx, coalesce(word_id, 1) AS word_id FROM t LEFT JOIN vocab ON token = word),
+n0 AS (SELECT *, lag(word_id) OVER w AS l, lead(word_id) OVER w AS r FROM e WINDOW w AS (PARTITION BY id ORDER BY tok_idx)),
+n1 AS (SELECT id, ver, tok_idx, {', '.join(f'{_h(f)} AS h{f}' for f in range(3))} FROM n0),
+n2 AS (SELECT id, tok_idx, [{', '.join(z(t) for t in range(5))}] AS z FROM n1),
+n3 AS (SELECT id, string_agg({pick('list_position(z, list_max(z)) - 1', tags.SHIPPED[:5])}, ' ' ORDER BY tok_idx) AS tags FROM n2 GROUP BY id)
+SELECT request_id, CASE WHEN kind = 'LOAD' THEN 'READY' WHEN text IS NULL THEN 'ERROR' ELSE 'RESULT' END AS type, CASE WHEN kind = 'INFER' THEN array_to_string(words, ' ') END AS words,
+  CASE WHEN kind = 'INFER' AND text IS NOT NULL THEN coalesce(n3.tags, '') END AS tags, CASE WHEN kind = 'INFER' AND text IS NULL THEN 'no text' END AS error FROM a LEFT JOIN n3 USING (id)"""
+
+
 TURNS = f"turns AS (SELECT conv_id * 1000 + turn AS sent_id, unnest(range(len(t))) AS tok_idx, unnest(t) AS token FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), {q(WEB_TOKEN)}) AS t FROM conversations))"
 INFER = f"""inf AS (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS request_id, text, regexp_extract_all(lower(text), {q(WEB_TOKEN)}) AS words FROM conversations),
 tagged AS (SELECT *, list_transform(words, lambda w: ([{', '.join(map(q, LABELS))}])[(length(w) % 50)::INT + 1]) AS tags FROM inf)"""
@@ -315,6 +331,7 @@ SELECT sent_id, batch_id, array_to_string(list_concat(ids, list_transform(range(
         "cross_entropy": f"WITH {NET} SELECT batch_id, round(avg(loss), 6) AS loss FROM loss GROUP BY batch_id",
         "epoch_loss": f"WITH {NET} SELECT round(avg(l), 6) AS epoch_loss FROM (SELECT avg(loss) AS l FROM loss GROUP BY batch_id)",
         "cnn_step": _step(),
+        "served_loop": _served(),
         "decode_tags": f"WITH {NET} SELECT {pick('pred', tags.SHIPPED[:5])} AS tag, count(*) AS n FROM pred GROUP BY ALL",
         "weights_roundtrip": f"""WITH {WEB}, {vocab('web')}, v AS (SELECT count(*) AS n FROM vocab)
 SELECT 'embedding' AS name, n::VARCHAR || ' 4' AS shape, n * 4 AS n, (SELECT sum(w * j % 5 - 2) FROM range(0, (SELECT n FROM v)) a(w), range(1, 5) b(j))::DOUBLE AS total FROM v
