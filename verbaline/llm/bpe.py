@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verbaline.llm.common import written
+from verbaline.llm.common import drop, written
 
 #: Unicode white space, and the letters and digits below U+0250, of which no later Unicode version adds any.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -36,7 +36,7 @@ FLUSH = 200_000
 #: Words sent to every task, the most frequent ones of at most LONGEST bytes: so at most 160 MB for a corpus of any size, 16 MB or so for prose.
 SENT, LONGEST = 2**19, 48
 #: Words and documents of a chunk, which is one row until its ids come back.
-CHUNK_WORDS, CHUNK_DOCS = 2**18, 2000
+CHUNK_WORDS, CHUNK_DOCS = 2**19, 4000
 WORD_COLUMNS = "word string, n long"
 
 
@@ -160,7 +160,10 @@ def word_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     before = conf.get(key, None)
     conf.set(key, "true")  # the counts' shuffle is of no use once the table is written
     try:
-        return written(decode(e, path), "bpe-words")
+        encoded = written(e, "bpe-ids")  # by itself, so that a task has one Python worker at a time
+        words = written(decode(encoded, path), "bpe-words")
+        drop(encoded)
+        return words
     finally:
         conf.unset(key) if before is None else conf.set(key, before)
 
@@ -269,7 +272,10 @@ def assembled(rows: DataFrame, name: str, sent, kind: str) -> DataFrame:
                     raise ValueError(f"{len(found)} of {want} words of a chunk found")
                 if want:
                     found = found.take(pc.sort_indices(found.field("slot")))
-                    words = words.and_then(Words(found.field("ids"), found.field("piece")))
+                    raw = found.field("ids")
+                    ids = pa.array(np.frombuffer(b"".join(raw.to_pylist()), ">u4").astype(np.int32))
+                    ends = np.r_[0, np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False) // 4)]
+                    words = words.and_then(Words(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), found.field("piece")))
                 sizes = r.column("sizes").flatten().to_numpy(zero_copy_only=False)
                 total = int(sizes.sum())
                 planes = np.frombuffer(pa.decompress(r.column("codes")[0].as_py(), 4 * total, codec="zstd", asbytes=True) if total else b"", np.uint8)
@@ -308,7 +314,8 @@ def encode_and_decode(docs: DataFrame, *, path: str | None = None, sent_words: i
     with pa.ipc.new_stream(sink, t.schema) as out:
         out.write_table(t)
     name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    found = chunks(docs, name, sent, True).join(words.where(~often).select("word", "ids", "piece"), "word").groupBy("chunk").agg(F.collect_list(F.struct("slot", "ids", "piece")).alias("found"))
+    bytes_of = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 8, "0")), ""))  # shorter on its way than a list
+    found = chunks(docs, name, sent, True).join(words.where(~often).select("word", bytes_of.alias("ids"), "piece"), "word").groupBy("chunk").agg(F.collect_list(F.struct("slot", "ids", "piece")).alias("found"))
     rows = chunks(docs, name, sent, False).join(found, "chunk", "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
     return assembled(rows, name, sent, docs.schema["doc_id"].dataType.simpleString())
 
