@@ -33,8 +33,8 @@ WORD = re.compile(
 )
 #: Distinct words that a task counts before it sends them on.
 FLUSH = 200_000
-#: Words sent to every task, the most frequent ones of at most LONGEST bytes: so at most 160 MB for a corpus of any size, 16 MB or so for prose.
-SENT, LONGEST = 2**19, 48
+#: Words sent to every task, the most frequent ones of at most LONGEST bytes: so at most 320 MB for a corpus of any size, 32 MB or so for prose.
+SENT, LONGEST = 2**20, 48
 #: Words and documents of a chunk, which is one row until its ids come back.
 CHUNK_WORDS, CHUNK_DOCS = 2**19, 4000
 WORD_COLUMNS = "word string, n long"
