@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from verbaline.llm.common import count_words, fold, hash32, hash_bucket, lower_ascii, ranked
+from verbaline.llm.common import count_words, first_by_hash, fold, hash32, hash_bucket, lower_ascii, ranked
 from verbaline.llm.components import components
 
 
@@ -41,3 +41,12 @@ def test_components(spark):
 def test_columns(spark):
     r = spark.createDataFrame([(" a\tB c\nÄ ", None)], "t string, n long").select(count_words(F.col("t")).alias("w"), count_words(F.col("n").cast("string")).alias("z"), lower_ascii(F.col("t")).alias("l"), fold(F.col("n"), 7).alias("f")).first()
     assert r.w == 3 and r.z == 0 and r.l == " a\tb c\nÄ " and r.f == 0
+
+
+def test_first_by_hash_at_any_spread(spark):
+    df = spark.range(20000).withColumn("h", hash32(F.col("id")))
+    rows = sorted((r.h, r.id) for r in df.collect())
+    assert [(r.h, r.id) for r in first_by_hash(df, "h", 300, "id").collect()] == rows[:300]
+    one = df.withColumn("h", F.lit(4 * 10**9))  # all rows share a hash
+    assert [r.id for r in first_by_hash(one, "h", 300, "id").collect()] == list(range(300))
+    assert first_by_hash(df.limit(7), "h", 300, "id").count() == 7 and first_by_hash(df.limit(0), "h", 300, "id").count() == 0

@@ -5,7 +5,9 @@ import re
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 from conftest_rows import ODD
+from pyspark.sql import functions as F
 
 from verbaline.llm import language_id, lm_score, quality, secrets
 
@@ -326,3 +328,47 @@ def test_secrets_threshold_keeps_recall():
 def test_secrets_candidates():
     text = "the hunter22 and kQzRtWvBnMxY and abcdefghijklmnopqrst and plain Words api_key ---------------------"
     assert [text[a:b] for a, b in secrets.candidates(text)] == ["hunter22", "kQzRtWvBnMxY", "abcdefghijklmnopqrst"]
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_learning_where_all_rows_share_a_doc_id(spark, doc_id):
+    text = F.concat(F.when(F.col("id") % 2 == 0, F.lit("the house and ")).otherwise("une maison des "), F.col("id").cast("string"))
+    docs = spark.range(20000).select(F.lit(doc_id).cast("long").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"))
+    model = language_id.learn(docs)
+    assert model["langs"] == ["en", "fr"]
+    got = language_id.identify(docs.where("text like '%the house%'").limit(50), model)
+    assert got.where("lang_pred = 'en'").count() == 50
+    secret = docs.withColumn("text", F.concat(F.col("text"), F.lit(" Word42x token = abc"), F.sha2("text", 256)))
+    assert secrets.learn(secrets.written(secrets.scan(secret), "scan")) is not None
+
+
+def test_words_that_teach_a_language_span_the_text(spark):
+    docs = spark.createDataFrame([(1, " ".join(["aaa"] * 60 + ["bbb"] * 19), "x"), (2, "", "x"), (3, "ccc", "y")], "doc_id long, text string, lang string")
+    seen = []
+    real = language_id.train
+    language_id.train = seen.extend
+    try:
+        language_id.learn(docs)
+    finally:
+        language_id.train = real
+    assert sorted(seen) == sorted([(b"aaa", "x")] * 31 + [(b"bbb", "x")] * 9 + [(b"ccc", "y")])
+
+
+def test_secrets_planted_without_a_keyword(spark):
+    rnd, letters = random.Random(5), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    run = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    made = [lambda: "ghp_" + run(letters, 36), lambda: "sk-" + run(letters, 40), lambda: run(letters + "+/", 44), lambda: f"xoxb-{run('0123456789', 11)}-{run(letters, 24)}"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("text is not null")
+    rows, keys = [], {}
+    for i, r in enumerate(docs.orderBy("doc_id").limit(100).collect()):
+        words, key = r.text.split(" "), made[i % 4]()
+        words.insert(rnd.randrange(len(words) + 1), key)
+        text = " ".join(words)
+        rows.append((-1 - i, text))
+        keys[-1 - i] = (text.index(key), text.index(key) + len(key))
+    model = secrets.learn(secrets.written(secrets.scan(docs), "scan"))
+    found = secrets.judge(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")), model).collect()
+    assert sum(any(s.start <= keys[r.doc_id][0] and keys[r.doc_id][1] <= s.end for s in r.added) for r in found) >= 90
+    own = secrets.judge(secrets.scan(docs), model).select(F.sum(F.size("added"))).first()[0]
+    beside = secrets.scan(docs).select(F.explode("candidates").alias("c")).where("not c.base").count()
+    assert own <= 0.02 * beside

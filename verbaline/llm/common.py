@@ -100,11 +100,16 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column],
     return d.join(sums.alias("s"), on).select(*keep, *((F.col(f"_s_{n}") + F.col(f"_w_{n}")).alias(n) for n in add))
 
 
-def first_by_hash(df: DataFrame, h: str, most: int, rows: int, *ties: str) -> DataFrame:
-    """The `most` rows of least hash32 value h among `rows` rows. A bound on h, generous by several deviations, goes first,
-    so that tasks send on about as many rows as are wanted, however many tasks there are."""
-    share = (most + 6 * most**0.5 + 30) / max(1, rows)
-    return df.where(F.col(h) < int(2**32 * min(1.0, share))).orderBy(h, *ties).limit(most)
+def first_by_hash(df: DataFrame, h: str, most: int, *ties: str) -> DataFrame:
+    """The first `most` rows by hash32 value h and ties, at every size.
+
+    One pass counts the rows below each power of two, and the least of these bounds with rows enough goes first, so that
+    tasks send on about as many rows as are wanted. If many rows share one h, the bound lets them pass, and a task sends
+    on `most` of them.
+    """
+    below = df.agg(*(F.count_if(F.col(h) < 2**k) for k in range(33))).first()
+    k = next(k for k, n in enumerate(below) if n >= min(most, below[32]))
+    return df.where(F.col(h) < 2**k).orderBy(h, *ties).limit(most)
 
 
 def hash_bucket(h: Column, rows: int) -> Column:

@@ -164,23 +164,23 @@ def predict(model: dict | None, texts: pa.Array) -> tuple[list[str], np.ndarray]
 
 
 def learn(docs: DataFrame, *, most: int = TRAIN_DOCS, words: int = TRAIN_WORDS) -> dict | None:
-    """The network from at most `most` labelled documents (doc_id, text, lang), the first by a hash of doc_id, and
-    `words` words of each, evenly spaced; texts stay on the executors."""
-    ids = docs.where("lang is not null and text is not null").select("text", "lang", hash32(F.col("doc_id")).alias("h"))
-    n = ids.count()
-    near = first_by_hash(ids, "h", most, n, "text").select("text", "lang", "h")
+    """The network from at most `most` labelled documents (doc_id, text, lang), the first by a hash of doc_id and text,
+    so that rows which share a doc_id are drawn like others, and `words` words of each, evenly spaced; texts stay on the
+    executors."""
+    ids = docs.where("lang is not null and text is not null").select("text", "lang", hash32(F.col("doc_id"), F.col("text")).alias("h"))
+    near = first_by_hash(ids, "h", most, "text", "lang").select("text", "lang", "h")
 
     def spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text, lang, h in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 w = text.as_py().encode().split()
-                rows.append((b"\n".join(w[i][:LENGTH] for i in range(0, len(w), max(1, len(w) // words))), lang, h))
+                rows.append((b"\n".join(w[i][:LENGTH] for i in (np.arange(min(words, len(w))) * len(w) // min(words, len(w) or 1)).tolist()), lang, h))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.int64()), strict=True)], ["words", "lang", "h"])
 
     got = sorted(near.mapInArrow(spaced, "words binary, lang string, h long").collect(), key=lambda r: (r.h, bytes(r["words"])))
-    return train([(w, r.lang) for r in got for w in bytes(r["words"]).split(b"\n")[:words] if w])
+    return train([(w, r.lang) for r in got for w in bytes(r["words"]).split(b"\n") if w])
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:

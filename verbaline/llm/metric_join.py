@@ -82,7 +82,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.98, cell: int = CELL, b
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     k = min(MOST_PIVOTS, -(-largest // cell)) or 1
     some = classes.select("node", "vec", hash32(F.col("h")).alias("h"))
-    picked = [np.asarray(r.vec, np.float64) for r in first_by_hash(some, "h", k, classes.count(), "node").collect()]
+    picked = [np.asarray(r.vec, np.float64) for r in first_by_hash(some, "h", k, "node").collect()]
     by_dim = {d: unit(np.stack([p for p in picked if len(p) == d])) for d in {len(p) for p in picked}}
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-7
 

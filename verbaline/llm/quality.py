@@ -115,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_DOCS) -> dict
     y = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     y = y.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     y = written(y.withColumn("h", hash32(F.col("doc_id"))), "labels")
-    chosen = first_by_hash(y, "h", most, y.count(), "doc_id").select(F.col("doc_id").alias("id"), "quality").collect()
+    chosen = first_by_hash(y, "h", most, "doc_id").select(F.col("doc_id").alias("id"), "quality").collect()
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = docs.sparkSession.createDataFrame(chosen, f"id {kind}, quality int") if chosen else None
     if known is None:
