@@ -11,7 +11,7 @@ from verbaline.functions import hashing, registry, rule_columns, tags
 from verbaline.functions.text import SPACE, web_tokens
 from verbaline.operators import cnn, features, tokens, training, vocab
 from verbaline.plans import oracle
-from verbaline.sources import conllu, vocab_json
+from verbaline.sources import conllu, onnx_file, vocab_json
 from verbaline.streaming import served, tagger
 
 
@@ -197,13 +197,18 @@ def conllu_filter_ids(spark, sf_dir):
 
 
 def vocab_json_roundtrip(spark, sf_dir):
-    return vocab_json.from_json(vocab_json.to_json(vocab_map(spark, sf_dir), "word", "word_id"), "word", "word_id")
+    """The vocabulary of all documents as a JSON object in files of the shared folder, read again by lines."""
+    at = tagger.shared_folder(spark, "vocabulary")
+    vocab_json.write(vocab_map(spark, sf_dir), "word", "word_id", at)
+    return vocab_json.read(spark, at, "word", "word_id")
 
 
 def conllu_files(spark, sf_dir):
-    """All documents as sentences in files of the shared folder, read again: words and tags with their counts and last place."""
+    """All documents as sentences in files of the shared folder, every other one with CRLF, read again: words and tags with
+    their counts and last place."""
     at = tagger.shared_folder(spark, "conllu")
-    conllu.to_text(annotated(spark, sf_dir), "doc_id", form="token", xpos="tag").select("text").write.text(at)
+    text = conllu.to_text(annotated(spark, sf_dir), "doc_id", form="token", xpos="tag")
+    text.select(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.replace("text", F.lit("\n"), F.lit("\r\n"))).alias("text")).write.text(at)
     return conllu.read(spark, at).groupBy("form", "xpos").agg(F.count("*").alias("n"), F.max("tok_idx").alias("last_idx"))
 
 
@@ -336,6 +341,20 @@ def weights_roundtrip(spark, sf_dir):
     return embedding.unionByName(t.select("name", F.array_join(F.transform("shape", lambda x: x.cast("string")), " ").alias("shape"), F.size("values").cast("long").alias("n"), total.alias("total")))
 
 
+def onnx_roundtrip(spark, sf_dir):
+    """The net as an ONNX file, read again: each tensor's shape, size, sum, and sum of the embedding's numbers times their row."""
+    at = f"{tagger.shared_folder(spark, 'onnx')}/tagger.onnx"
+    layers = {k: v for k, v in whole_number_net().items() if k != "embedding"}
+    onnx_file.write(whole_number_embedding(vocab_map(spark, sf_dir)).select("word_id", "vector"), layers, at)
+    t = onnx_file.tensors(spark, at)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    rows = onnx_file.embedding_rows(t).select("word_id", F.size("vector").alias("dim"), total("vector").alias("s"))
+    embedding = rows.agg(F.count("*").alias("v"), F.max("dim").alias("d"), F.sum("dim").alias("n"), F.sum("s").alias("total"), F.sum(F.col("s") * F.col("word_id")).alias("by_row"))
+    embedding = embedding.select(F.lit("embedding").alias("name"), F.concat_ws(" ", F.col("v").cast("string"), F.col("d").cast("string")).alias("shape"), "n", "total", "by_row")
+    small = t.where("name <> 'embedding'").select("name", F.array_join(F.transform("shape", lambda x: x.cast("string")), " ").alias("shape"), F.size("values").cast("long").alias("n"), total("values").alias("total"), F.lit(0.0).alias("by_row"))
+    return embedding.unionByName(small)
+
+
 def _turn_messages(df: DataFrame) -> DataFrame:
     return df.withColumn("request_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
 
@@ -420,7 +439,7 @@ def queries() -> dict:
         web_token_counts, vocab_map, tag_map, encode_unk, oov_words, strict_tag_check, dataset_stats, ws_runs, spacy_flags, affix_peel, rule_tokens, url_rule_tokens, rule_token_counts, sql_functions,
         byte_offsets, doc_buffer_size, doc_buffer_md5, upos_base, upos_resolved, upos_raw_compat, upos_counts, noun_verb_wh_flags, sentence_feats_literal, wh_question_count, head_tokens,
         conllu_roundtrip, conllu_filter_ids, conllu_files, vocab_json_roundtrip, tag_map_invert, batch_assignment, batch_shuffle, pad_batches, trigram_contexts, conv_int_logits, argmax_first, masked_accuracy, batch_mean_accuracy,
-        cross_entropy, epoch_loss, decode_tags, weights_roundtrip, render_html, stream_infer, message_loop, served_loop, murmur2a_parts, cnn_step, cnn_train,
+        cross_entropy, epoch_loss, decode_tags, weights_roundtrip, onnx_roundtrip, render_html, stream_infer, message_loop, served_loop, murmur2a_parts, cnn_step, cnn_train,
     )
     out = {"encode_documents": entry, "web_tokens": web} | {f.__name__: f for f in plain}
     return out | {f"{n}_words": _hashed(n) for n in hashing.HASHES}

@@ -337,6 +337,11 @@ SELECT sent_id, batch_id, array_to_string(list_concat(ids, list_transform(range(
 SELECT 'embedding' AS name, n::VARCHAR || ' 4' AS shape, n * 4 AS n, (SELECT sum(w * j % 5 - 2) FROM range(0, (SELECT n FROM v)) a(w), range(1, 5) b(j))::DOUBLE AS total FROM v
 UNION ALL SELECT 'conv.weight', '3 4 3', 36, (SELECT sum((f + 2 * d + 3 * k) % 3 - 1) FROM range(3) a(f), range(4) b(d), range(3) c(k))::DOUBLE
 UNION ALL SELECT 'conv.bias', '3', 3, 0.0 UNION ALL SELECT 'fc.weight', '5 3', 15, (SELECT sum((2 * t + f) % 3 - 1) FROM range(5) a(t), range(3) b(f))::DOUBLE UNION ALL SELECT 'fc.bias', '5', 5, 2.0""",
+        "onnx_roundtrip": f"""WITH {WEB}, {vocab('web')}, v AS (SELECT count(*) AS n FROM vocab),
+e AS (SELECT w, (w * j % 5 - 2)::DOUBLE AS x FROM range(0, (SELECT n FROM v)) a(w), range(1, 5) b(j))
+SELECT 'embedding' AS name, n::VARCHAR || ' 4' AS shape, n * 4 AS n, (SELECT sum(x) FROM e) AS total, (SELECT sum(x * w) FROM e) AS by_row FROM v
+UNION ALL SELECT 'conv.weight', '3 4 3', 36, (SELECT sum((f + 2 * d + 3 * k) % 3 - 1) FROM range(3) a(f), range(4) b(d), range(3) c(k))::DOUBLE, 0.0
+UNION ALL SELECT 'conv.bias', '3', 3, 0.0, 0.0 UNION ALL SELECT 'fc.weight', '5 3', 15, (SELECT sum((2 * t + f) % 3 - 1) FROM range(5) a(t), range(3) b(f))::DOUBLE, 0.0 UNION ALL SELECT 'fc.bias', '5', 5, 2.0, 0.0""",
         "render_html": f"WITH {INFER} SELECT request_id, array_to_string(list_transform(list_zip(words, tags), lambda x: '<div><span>' || {html('x[1]')} || '</span><span>' || {html('x[2]')} || '</span></div>'), '') AS html FROM tagged",
         "message_loop": f"WITH {LOOP}",
         "stream_infer": f"WITH {INFER} SELECT request_id, CASE WHEN text IS NULL THEN 'ERROR' ELSE 'RESULT' END AS type, array_to_string(words, ' ') AS words, array_to_string(tags, ' ') AS tags FROM tagged",

@@ -2,44 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The line end before a blank line; a line with an integer id and the five fields that are read.
+BREAK, TOKEN = r"\r?\n[ \t]*(?=\r?\n)", r"\A[0-9]+\t[^\t]*\t[^\t]*\t[^\t]*\t"
 
-#: What parts sentences.
-BLANK = r"\r?\n[ \t]*\r?\n"
+
+def _read_fields(line: Column) -> list[Column]:
+    f = F.split(line, "\t")
+    xpos = F.get(f, 4)
+    return [F.lower(F.get(f, 1)).alias("form"), F.when(xpos != "_", xpos).alias("xpos")]
 
 
 def tokens_of(files: DataFrame) -> DataFrame:
-    """From (path, text): path, sent_id, tok_idx, form (lower-cased), xpos (null for _).
+    """From (path, text): path, sent_id, tok_idx, form (lower-cased), xpos (null for _). A narrow map, for streams as well.
 
-    Blank lines part sentences; lines that begin with # and tokens whose id is no plain integer (a-b, a.b) are left out,
-    and so are sentences without tokens.
+    Blank lines part sentences, whose number is that of the blank lines before them; lines that begin with # and tokens
+    whose id is no plain integer (a-b, a.b) are left out, and so are sentences without tokens. Lines may end in CRLF.
     """
-    return _parsed(files.select("path", F.posexplode(F.split("text", BLANK)).alias("sent_id", "s")))
-
-
-def _parsed(s: DataFrame) -> DataFrame:
-    """The token table of (path, sent_id, s)."""
-    lines = s.select("path", "sent_id", F.posexplode(F.split("s", r"\r?\n")).alias("line", "l")).where("l <> '' and l not like '#%'")
-    f = lines.select("path", "sent_id", "line", F.split("l", "\t").alias("f")).where((F.size("f") >= 5) & F.get("f", 0).rlike(r"\A[0-9]+\z"))
-    order = Window.partitionBy("path", "sent_id").orderBy("line")
-    xpos = F.get("f", 4)
-    return f.select("path", F.col("sent_id").cast("long"), (F.row_number().over(order) - 1).cast("long").alias("tok_idx"), F.lower(F.get("f", 1)).alias("form"), F.when(xpos != "_", xpos).alias("xpos"))
+    s = files.select("path", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), BREAK)).alias("sent_id", "s"))
+    lines = F.filter(F.split("s", r"\r?\n"), lambda line: line.rlike(TOKEN))
+    t = s.select("path", F.col("sent_id").cast("long"), F.posexplode(lines).alias("tok_idx", "l"))
+    return t.select("path", "sent_id", F.col("tok_idx").cast("long"), *_read_fields(F.col("l")))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Token table of one or many files, as tokens_of gives it. Spark cuts files at empty lines, so a file of any size is
-    read by many tasks (with other line ends it is one row). Sentences are numbered by the counts of the splits before."""
+    """Token table of one or many files, as tokens_of gives it. Spark cuts files at line ends, CRLF or LF, so a file of any
+    size is read by many tasks; only what is kept of a line is shuffled. Blank lines are counted within splits, and splits
+    begin at the sums of those before them."""
     m = F.col("_metadata")
-    rows = spark.read.text(path, lineSep="\n\n").select(m["file_path"].alias("path"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"), F.split("value", BLANK).alias("s"))
-    each = rows.groupBy("path", "block").agg(F.sum(F.size("s")).alias("n"))
-    earlier = lambda *order: Window.partitionBy(*order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda n, w: F.coalesce(F.sum(n).over(w), F.lit(0))
-    start = each.select("path", "block", before(F.col("n"), earlier("path", "block")).alias("start"))
-    rows = rows.withColumn("at", before(F.size("s"), earlier("path", "block", "row"))).join(start, ["path", "block"])
-    s = rows.select("path", (F.col("start") + F.col("at")).alias("first"), F.posexplode("s").alias("k", "s"))
-    return _parsed(s.select("path", (F.col("first") + F.col("k")).alias("sent_id"), "s"))
+    raw = spark.read.text(path, lineSep="\n").select(m["file_path"].alias("path"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", r"\r\z", "").alias("l"))
+    lines = raw.select("path", "block", "row", F.col("l").rlike(r"\A[ \t]*\z").cast("int").alias("blank"), F.col("l").rlike(TOKEN).alias("token"), *_read_fields(F.col("l"))).where("blank = 1 or token")
+    each = lines.groupBy("path", "block").agg(F.sum("blank").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = each.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    so_far = Window.partitionBy("path", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = lines.withColumn("at", F.sum("blank").over(so_far)).where("token").join(start, ["path", "block"])
+    order = Window.partitionBy("path", "sent_id").orderBy("block", "row")
+    return t.withColumn("sent_id", F.col("start") + F.col("at")).select("path", "sent_id", (F.row_number().over(order) - 1).cast("long").alias("tok_idx"), "form", "xpos")
+
+
+def read_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The token table of files as they arrive in a folder; each is read whole, by one task."""
+    files = spark.readStream.text(folder, wholetext=True)
+    return tokens_of(files.select(F.col("_metadata")["file_path"].alias("path"), F.col("value").alias("text")))
 
 
 def sentences(tokens: DataFrame, *keys: str) -> DataFrame:
