@@ -74,23 +74,6 @@ def similarity(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-def test_wide_links_lose_nothing(spark):
-    rnd = random.Random(4)
-    rows, i = [], 0
-    for _ in range(60):
-        base, n = rnd.getrandbits(64), rnd.randrange(10, 500)
-        for _ in range(8):
-            x = base
-            for b in rnd.sample(range(64), rnd.randrange(0, 6)):
-                x ^= 1 << b
-            rows.append((i, x - (1 << 64) if x >> 63 else x, int(n * rnd.uniform(0.75, 1.3))))
-            i += 1
-    got = {(r.a, r.b) for r in simhash.wide_links(spark.createDataFrame(rows, "id long, fp long, n int"), 14, 0.8).collect()}
-    close = lambda a, b: bin((a[1] ^ b[1]) & (2**64 - 1)).count("1") <= 7
-    need = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and close(a, b) and min(a[2], b[2]) >= 0.8 * max(a[2], b[2])}
-    assert need <= got and all(bin((rows[a][1] ^ rows[b][1]) & (2**64 - 1)).count("1") <= 14 for a, b in got)
-
-
 def test_stage_catches_copies_and_leaves_the_rest(spark, docs_of):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
@@ -160,3 +143,32 @@ def test_joined_equals_brute_force_on_hubs_and_shared_passages(spark, docs_of):
     roots = simhash.written(keyed.selectExpr("key", "key AS root"), "roots")
     got = {r.key: r.root for r in simhash.joined(keyed, roots, 5, 0.8).collect()}
     assert got == dict(enumerate(root)) and 30 < len(set(root)) < 100 and len(near) < 120 * 119 / 4
+
+
+def test_few_pairs_are_compared_in_dense_lists(spark, docs_of, monkeypatch):
+    """Texts of 18 out of 26 words, whose lists of rare shingles hold most texts: few pairs reach the comparison of whole sets."""
+    compared, plain = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda pairs, sets, least: compared.append(pairs.count()) or plain(pairs, sets, least))
+    for n in (300, 900):
+        rnd = random.Random(11)
+        texts = list({" ".join(sorted(rnd.sample("abcdefghijklmnopqrstuvwxyz", 18))) for _ in range(n)})
+        keyed = docs_of([(i, t, "a") for i, t in enumerate(texts)]).selectExpr("doc_id AS key", "text")
+        roots = simhash.written(keyed.selectExpr("key", "key AS root"), "roots")
+        compared.clear()
+        got = {r.key: r.root for r in simhash.joined(keyed, roots, 1, 0.8).collect()}
+        sets = [set(t.split()) for t in texts]
+        root = list(range(len(texts)))
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 16]
+        while any(root[i] != root[j] for i, j in near):
+            for i, j in near:
+                root[i] = root[j] = min(root[i], root[j])
+        assert got == dict(enumerate(root)) and compared[-1] <= 2 * len(near) + len(texts)
+
+
+def test_a_group_of_copies_costs_a_row_a_task(spark, docs_of):
+    text = " ".join("abcdefghij"[i % 7] * (i % 5 + 1) + str(i) for i in range(60))
+    docs = docs_of([(i, text, "a") for i in range(2000)] + [(5000, text + " more", "a")]).repartition(4)
+    keyed = docs.selectExpr("named_struct('hi', xxhash64(text), 'lo', 0L) AS key", "text")
+    rows = simhash.prefixes(keyed, 5, 0.8).groupBy("key", "token").count().agg({"count": "max"}).first()[0]
+    assert rows <= 4
+    assert [r.doc_id for r in simhash.stage(spark, docs, "").collect()] == [0]

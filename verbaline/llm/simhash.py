@@ -8,8 +8,9 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from verbaline.llm.common import drop, sliced, written
 from verbaline.llm.components import components
@@ -20,6 +21,8 @@ WIDTH = BITS // SEGMENTS
 BUCKETS, PARTS = 2**20, 64
 #: Pairs left a row of the shingles' lists from which on further turns cost more than they save.
 ENOUGH = 4
+#: Longs of a set's parities.
+LANES = 4
 
 
 def fingerprint(text: str | None, n: int) -> bytes:
@@ -112,27 +115,6 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_links(reps: DataFrame, most: int, least: float) -> DataFrame:
-    """(a, b) with a < b: pairs of rows (id, fp, n words) of at most `most` differing bits, one segment of which differs in
-    at most one, and whose sizes allow a similarity of `least`.
-
-    The chain of a pair with up to 7 differing bits begins with such a segment, so no pair of these is missed; of pairs with
-    more bits those are found that happen to have one, so the stage does not use it. One side lists each segment's 17 neighbours, and the join is on
-    segment and size class. Sizes differ by a factor of 1 / least at most, so a class of that width needs its neighbours only.
-    """
-    level = F.floor(F.log(F.col("n")) / F.lit(float(np.log(1 / least)))).cast("int")
-    r = reps.where("n > 0").withColumn("level", level)
-    one = [F.lit(0), *(F.lit(1 << j) for j in range(WIDTH))]
-    around = F.array(*(F.struct(F.lit(i).alias("kind"), segment(F.col("fp"), i).bitwiseXOR(x.cast("long")).alias("key")) for i in range(SEGMENTS) for x in one))
-    exact = F.array(*(F.struct(F.lit(i).alias("kind"), segment(F.col("fp"), i).alias("key"), (F.col("level") + d).alias("at")) for i in range(SEGMENTS) for d in (-1, 0, 1)))
-    a = r.select("id", "fp", "n", F.col("level").alias("at"), F.inline(around)).alias("a")
-    b = r.select("id", "fp", "n", F.inline(exact)).alias("b")
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.id") < F.col("b.id"))
-    sizes = F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 4
-    return a.join(b, same & sizes & (F.bit_count(x) <= most)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-
-
 def shingles(text: str | None, n: int) -> np.ndarray:
     """The distinct 64-bit hashes of a text's shingles, ascending; fewer words than a shingle are one."""
     words = (text or "").encode().lower().split()
@@ -143,12 +125,26 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, count)).view(np.int64)
 
 
-def frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
-    """How many shingles of all texts fall in each of BUCKETS by their hash: a table of one size for any input."""
+def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, text) without the rows whose key this task has had, in slices; copies then cost a row a task."""
+    seen: set = set()
+    for b in sliced(batches):
+        at = []
+        for i, k in enumerate(zip(*b.column(0).flatten(), strict=True) if pa.types.is_struct(b.column(0).type) else b.column(0)):
+            k = tuple(x.as_py() for x in k) if isinstance(k, tuple) else k.as_py()
+            if k not in seen:
+                seen.add(k)
+                at.append(i)
+        if at:
+            yield b.take(pa.array(at))
+
+
+def frequencies(keyed: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of all texts (of copies in one task, one) fall in each of BUCKETS by their hash: a table of one size for any input."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for t in b.column(0):
+        for b in unseen(batches):
+            for t in b.column(1):
                 np.add.at(counts, shingles(t.as_py(), shingle) & (BUCKETS - 1), 1)
         parts = counts.reshape(PARTS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
@@ -157,7 +153,7 @@ def frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
         counts = sum(np.frombuffer(x, np.int64) for x in rows["counts"])
         return rows.iloc[:1].assign(counts=[counts.tobytes()])
 
-    got = docs.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(total, "part int, counts binary").collect()
+    got = keyed.select("key", "text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(total, "part int, counts binary").collect()
     return np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(got)]) if got else np.zeros(BUCKETS, np.int64)
 
 
@@ -165,33 +161,42 @@ def prefixes(keyed: DataFrame, shingle: int, least: float) -> DataFrame:
     """key, n (distinct shingles), token, pos: each text's first n - ceil(least * n) + 1 shingles, rare ones first.
 
     Two sets at a Jaccard similarity of `least` share one of these under any order that is the same for all texts; the
-    order by frequency only keeps what many texts share out of the way, so that frequencies may be rough.
+    order by frequency only keeps what many texts share out of the way, so that frequencies may be rough. A text has its
+    rows once for every task that holds a copy of it.
     """
     sent = keyed.sparkSession.sparkContext.broadcast(frequencies(keyed, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            key, size, token, pos = [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for b in unseen(batches):
+            size, token, pos = [], [], []
+            for t in b.column(1):
                 h = shingles(t.as_py(), shingle)
                 m = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1
                 token.append(h[np.lexsort((h, sent.value[h & (BUCKETS - 1)]))[:m]])
-                key.append(np.full(m, k, np.int64))
                 size.append(np.full(m, len(h), np.int32))
                 pos.append(np.arange(m, dtype=np.int32))
-            if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (key, size, token, pos)], ["key", "n", "token", "pos"])
+            key = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in token])))
+            yield pa.RecordBatch.from_arrays([key, *(pa.array(np.concatenate(c)) for c in (size, token, pos))], ["key", "n", "token", "pos"])
+
+    kind = keyed.schema["key"].dataType.simpleString()
+    return keyed.select("key", "text").mapInArrow(run, f"key {kind}, n int, token long, pos int")
+
 
-    return keyed.select("key", "text").mapInArrow(run, "key long, n int, token long, pos int")
+def parities(h: np.ndarray) -> np.ndarray:
+    """LANES longs: a bit tells whether an odd number of the hashes have it for their place."""
+    bits = np.bincount((h.view(np.uint64) >> np.uint64(32)) % np.uint64(64 * LANES), minlength=64 * LANES) & 1
+    return np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
 def shingle_sets(keyed: DataFrame, shingle: int) -> DataFrame:
-    """key, set: distinct 64-bit hashes of a text's shingles."""
+    """key, set: distinct 64-bit hashes of a text's shingles; odd: their parities (see parities())."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle) for t in b.column(1)], pa.list_(pa.int64()))], ["key", "set"])
+            sets = [shingles(t.as_py(), shingle) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in (sets, [parities(h) for h in sets]))], ["key", "set", "odd"])
 
-    return keyed.select("key", "text").mapInArrow(run, "key long, set array<long>")
+    kind = keyed.schema["key"].dataType.simpleString()
+    return keyed.select("key", "text").mapInArrow(run, f"key {kind}, set array<long>, odd array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -227,11 +232,16 @@ def joined(keyed: DataFrame, roots: DataFrame, shingle: int, least: float) -> Da
     altered, then others by hash. Turns are repeated while they help and more pairs are left than rows; they join large
     groups at a cost in proportion to their size. What is left are pairs of different roots. Such a
     pair meets at the first prefix shingle that it has in common, and only if what follows it in both texts is long
-    enough for the similarity; those pairs are compared as whole sets.
+    enough for the similarity and their parities differ in no more bits than the sets may have different shingles (a shingle that
+    only one set has turns one bit, so sets differ in as many shingles at least); those pairs are compared as whole sets.
     """
-    by = Window.partitionBy("token")
-    every = prefixes(keyed, shingle, least).withColumn("_lo", F.min("key").over(by)).withColumn("_hi", F.max("key").over(by))
-    p = written(every.where("_lo <> _hi").select("key", "n", "token", "pos").distinct(), "shared")
+    every = written(prefixes(keyed, shingle, least), "prefixes")
+    kind = keyed.schema["key"].dataType
+    fields = [f"key.{f}" for f in kind.names] if isinstance(kind, StructType) else ["key"]
+    ends = every.groupBy("token").agg(*(f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(fields) for f in (F.min, F.max)))
+    several = ends.where(" or ".join(f"min{i} <> max{i}" for i in range(len(fields)))).select("token")
+    p = written(every.join(several, "token", "left_semi").select("key", "n", "token", "pos").distinct(), "shared")
+    drop(every)
     texts = keyed.join(p.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     sets = written(shingle_sets(texts, shingle), "sets")
     need = F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6
@@ -251,10 +261,14 @@ def joined(keyed: DataFrame, roots: DataFrame, shingle: int, least: float) -> Da
         roots = merged(roots, similar(pairs.where(sizes & (F.least("pa", "pb") + rest >= need)).select("a", "b", "ra", "rb").distinct(), sets, least))
         turn, before = turn + 1, left
     # Of two texts with different roots at least one is outside the root that most of the list has.
-    a = p.where("root <> major").select("token", *sided("a"))
-    b = p.select(F.col("token").alias("_t"), *sided("b"), (F.col("root") == F.col("major")).alias("_m"))
+    held = p.join(sets.select("key", *(F.col("odd")[i].alias(f"odd{i}") for i in range(LANES))), "key")
+    odd = lambda side: [F.col(f"odd{i}").alias(f"odd{side}{i}") for i in range(LANES)]
+    a = held.where("root <> major").select("token", *sided("a"), *odd("a"))
+    b = held.select(F.col("token").alias("_t"), *sided("b"), *odd("b"), (F.col("root") == F.col("major")).alias("_m"))
+    turned = sum((F.bit_count(F.col(f"odda{i}").bitwiseXOR(F.col(f"oddb{i}"))) for i in range(LANES)), F.lit(0))
+    alike = turned <= F.col("na") + F.col("nb") - 2 * F.ceil(need)
     # The first shingle in common has nothing in common before it, so what follows it in both must do.
-    met = a.join(b, (F.col("token") == F.col("_t")) & (F.col("ra") != F.col("rb")) & (F.col("_m") | (F.col("a") < F.col("b"))) & sizes & (rest >= need))
+    met = a.join(b, (F.col("token") == F.col("_t")) & (F.col("ra") != F.col("rb")) & (F.col("_m") | (F.col("a") < F.col("b"))) & sizes & (rest >= need) & alike)
     one, two = (F.struct(F.col(x).alias("key"), F.col("r" + x).alias("root")) for x in "ab")
     met = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
     return merged(roots, similar(met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")), sets, least))
@@ -266,9 +280,10 @@ def stage(spark, docs: DataFrame, sf_dir: str, shingle: int = 5, most: int = 2,
     First all fingerprints within `most` bits are linked, which folds the large groups of copies. Then all different texts
     are compared by their shingles themselves, each pair at a similarity of `least` or more is linked. Empty texts are one
     class. The first document is decided by the doc_id, last if null, then by hashes of the text and of all columns; so
-    documents that share a doc_id, or have none, are told apart by their texts. Texts are known by a 64-bit hash.
+    documents that share a doc_id, or have none, are told apart by their texts. Texts are known by 128 bits of hashes.
     """
-    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    whole = F.coalesce("text", F.lit(""))
+    key = F.struct(F.xxhash64(whole).alias("hi"), F.xxhash64(F.lit(SEED), whole).alias("lo")).alias("key")
     keyed = docs.select(key, "text")
     rows = docs.select(F.struct("doc_id", key, F.xxhash64(*docs.columns).alias("row")).alias("doc_id"), "text")
     prints = written(fingerprints(rows, shingle=shingle).select("doc_id.*", "fp"), "prints")
