@@ -240,8 +240,10 @@ def joined(keyed: DataFrame, roots: DataFrame, shingle: int, least: float) -> Da
     fields = [f"key.{f}" for f in kind.names] if isinstance(kind, StructType) else ["key"]
     ends = every.groupBy("token").agg(*(f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(fields) for f in (F.min, F.max)))
     several = ends.where(" or ".join(f"min{i} <> max{i}" for i in range(len(fields)))).select("token")
+    several = written(several, "several")  # the lists' sums are tables of their own, so that Spark can split a long list in the joins with them
     p = written(every.join(several, "token", "left_semi").select("key", "n", "token", "pos").distinct(), "shared")
     drop(every)
+    drop(several)
     texts = keyed.join(p.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     sets = written(shingle_sets(texts, shingle), "sets")
     need = F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6
@@ -250,15 +252,19 @@ def joined(keyed: DataFrame, roots: DataFrame, shingle: int, least: float) -> Da
     turn, before = 0, float("inf")
     while True:
         held, placed = p, p.select("key", "n", "token", "pos").join(roots, "key")
-        p = written(placed.join(spread(placed), "token"), "open")
+        lists = written(spread(placed), "lists")
+        p = written(placed.join(lists, "token"), "open")
         drop(held)
+        drop(lists)
         rows, left = p.agg(F.count("*"), F.coalesce(F.sum((F.col("c") - F.col("most")).cast("double")), F.lit(0.0))).first()
         if turn and (left <= ENOUGH * rows or left > 0.9 * before):
             break
         other = F.xxhash64(F.lit(turn), "key")
         lead = p.groupBy("token").agg(F.min_by(F.struct("key", "root", "n", "pos"), F.struct("pos", other.alias("h")) if turn == 0 else other).alias("l"))
+        lead = written(lead, "lead")
         pairs = p.join(lead, "token").where("root <> l.root").select(*sided("a", "l."), *sided("b"))
         roots = merged(roots, similar(pairs.where(sizes & (F.least("pa", "pb") + rest >= need)).select("a", "b", "ra", "rb").distinct(), sets, least))
+        drop(lead)
         turn, before = turn + 1, left
     # Of two texts with different roots at least one is outside the root that most of the list has.
     held = p.join(sets.select("key", *(F.col("odd")[i].alias(f"odd{i}") for i in range(LANES))), "key")
