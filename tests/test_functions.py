@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +51,14 @@ def test_murmur2a_in_parts():
         for p in parts:
             m.add(p)
         assert m.end() == murmur2a([b"".join(parts)], 7)[0]
+
+
+def test_parts_hash_of_many_rows(spark):
+    rnd = random.Random(3)
+    odd = ["", "a", "ab", "abc", "abcd", "héllo", "漢字かな", "😀", "x" * 1001, "ÿ" * 7, None]
+    for n in (3, 400):  # states of their own, and blocks of all rows at once before them
+        rows = [[rnd.choice(odd) for _ in range(rnd.randrange(9))] for _ in range(n)] + [None, [], [None], ["y" * 100_000, "z"]]
+        df = spark.createDataFrame(list(enumerate(rows)), "i int, p array<string>").coalesce(1)
+        got = {r.i: r.h for r in df.select("i", hashing.parts_hash_udf(5)("p").alias("h")).collect()}
+        for i, r in enumerate(rows):
+            assert got[i] == (None if r is None else int(hashing.murmur2a(["".join(x for x in r if x).encode()], 5)[0]))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,21 +118,50 @@ class Murmur2A:
         return h ^ h >> 15
 
 
-def parts_hash_udf(seed: int = 1):
-    """Column function of an array of strings: murmur2a of them one after another, never joined; null parts are skipped, a null
-    array gives null."""
+#: Rows from which on a block of all of them at once is faster than each row's blocks in turn.
+TOGETHER = 8
 
-    def one(parts) -> int:
-        m = Murmur2A(seed)
-        for p in parts:
-            if p is not None:
-                m.add(p.encode())
-        return m.end()
 
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([pd.NA if x is None else one(x) for x in s], index=s.index, dtype="Int64")
+def murmur2a_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """murmur2a of slices of one byte array: a block of all rows at once, longest rows first, so that those still going are in
+    front; the last few go on as states of their own."""
+    order = np.argsort(start - end, kind="stable")
+    at, n = start[order].astype(np.int64), (end - start)[order].astype(np.int64)
+    m, data = np.uint32(M32), np.r_[data, np.zeros(4, np.uint8)]
+    h, out = np.full(len(n), seed & 0xFFFFFFFF, np.uint32), np.empty(len(n), np.uint32)
+    four = lambda i: np.ascontiguousarray(data[i[:, None] + np.arange(4)]).view("<u4")[:, 0]
+    going, done = np.searchsorted(-(n // 4), -np.arange(1, n.max(initial=0) // 4 + 1), side="right"), 0
+    with np.errstate(over="ignore"):
+        for j, g in enumerate(going):
+            if g < TOGETHER:
+                break
+            h[:g] = (h[:g] * m) ^ mixed(four(at[:g] + 4 * j), m, R32)
+            done = j + 1
+        for i in range(going[done] if done < len(going) else 0):
+            state, to = Murmur2A(seed), n[i] // 4 * 4
+            state.h = int(h[i])
+            h[i] = state.add(data[at[i] + 4 * done : at[i] + to].tobytes()).h
+        tail = four(at + n // 4 * 4) & ((np.uint32(1) << (8 * (n % 4)).astype(np.uint32)) - np.uint32(1))
+        for k in (tail, n.astype(np.uint32)):
+            h = (h * m) ^ mixed(k, m, R32)
+        out[order] = finished(h)
+    return out
 
-    return F.pandas_udf(run, "long")
+
+def parts_hash_udf(seed: int = 1):
+    """Column function of an array of strings: murmur2a of them one after another; null parts are skipped, a null array gives
+    null. The parts of a row already lie side by side in its Arrow batch, so nothing is joined or copied row by row."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            words = b.values.cast(pa.large_binary()).fill_null(b"")
+            _, ends, data = words.buffers()
+            ends = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+            cut = ends[b.offsets.to_numpy()]
+            h = murmur2a_slices(np.frombuffer(data or b"", np.uint8), cut[:-1], cut[1:], seed)
+            yield pa.array(h.astype(np.int64), mask=np.asarray(b.is_null()))
+
+    return F.arrow_udf(run, "long")
 
 
 def murmur64b(raw: list[bytes], seed: int = 1) -> np.ndarray:

@@ -3,30 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from verbaline.functions import hashing, rules, tags, text
 
 
-@udtf(returnType="tok_idx: bigint, start: int, end: int, spacy: boolean, token: string")
-class RuleTokenize:
-    """A row for each token of a text; none for null or empty text."""
-
-    def __init__(self):
-        self.memo = {}
-
-    def eval(self, value: str):
-        for i, (a, b, spacy) in enumerate(rules.tokenize(value, self.memo)):
-            yield i, a, b, spacy, value[a:b]
-
-
 def quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def register(spark: SparkSession) -> None:
     """web_tokens(text) and resolve_upos(tag, dep) as SQL functions, which Catalyst inlines; rule_tokens(text), the four
-    hashes of a string as Arrow functions; rule_tokenize(text) as a table function."""
+    hashes of a string as Arrow functions; rule_tokenize(text) as a table function in SQL, a row for each token and none for null or empty text."""
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION web_tokens(t STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all(lower(t), {quoted(text.WEB_TOKEN)}, 0)")
     base = " ".join(f"WHEN {quoted(t)} THEN '{u}'" for t, u in [*tags.LABELS, ("GW", "X")])
     verbs = ", ".join(map(quoted, tags.VERBS))
@@ -35,4 +22,5 @@ CASE WHEN tag IN ({verbs}) AND dep IN ('AUX', 'AUXPASS') THEN 'AUX' WHEN tag IN
     spark.udf.register("rule_tokens", rules.rule_tokens_udf())
     for name in hashing.HASHES:
         spark.udf.register(name, hashing.hash_udf(name))
-    spark.udtf.register("rule_tokenize", RuleTokenize)
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION rule_tokenize(t STRING) RETURNS TABLE (tok_idx BIGINT, start INT, end INT, spacy BOOLEAN, token STRING)
+RETURN SELECT CAST(pos AS BIGINT), x.start, x.end, x.spacy, substring(t, x.start + 1, x.end - x.start) FROM posexplode(rule_tokens(t)) AS p (pos, x)""")
