@@ -115,3 +115,19 @@ def test_onnx_refuses_gaps_and_takes_no_words(spark, tmp_path):
     at = saved(spark, tmp_path, w, [])
     t = onnx_file.tensors(spark, f"file://{at}")
     assert onnx_file.embedding_rows(t).count() == 0 and t.where("name = 'embedding'").first()["shape"] == [0, 8]
+
+
+def test_conllu_is_read_and_written_without_a_shuffle_of_lines(spark, sf_dir, tmp_path):
+    from verbaline.plans import catalogue
+
+    assert "Exchange" not in catalogue.conllu_roundtrip(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    line = "\t".join(["{}", "w", "_", "_", "NN"])
+    (tmp_path / "a.conllu").write_text("\n".join(line.format(i + 1) for i in range(5000)) + "\n\n" + line.format(1) + "\n")  # a sentence over many splits
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        got = conllu.read(spark, f"file://{tmp_path}")
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r.sent_id, r.tok_idx) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == [(0, i) for i in range(5000)] + [(1, 0)]
