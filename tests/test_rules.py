@@ -59,3 +59,24 @@ def test_tables(spark):
     assert [r.token for r in tokens.web_token_table(spark.createDataFrame([(1, "Café don't_x")], "id long, text string"), "id").orderBy("tok_idx").collect()] == ["caf", "é", "don", "'", "t_x"]
     assert tokens.run_table(df, "id").where("id = 5").count() == 0
     assert tokens.run_table(df, "id").groupBy("id").agg(F.count("*").alias("n")).where("id = 1").first().n == 3
+
+
+def test_a_task_sends_tokens_on_as_it_goes():
+    """One batch of many texts is answered in parts of bounded size, the same as text by text."""
+    import pyarrow as pa
+
+    from verbaline.functions import rules
+
+    texts = ["né 😀 x,  (y) " * 900, None, "", " a", "plain " * 60_000] + ["w1 w2. " * 300] * 200
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "t"])
+    parts = list(rules.token_rows(by_bytes=True)([batch]))
+    assert len(parts) > 3 and max(p.num_rows for p in parts) <= rules.SEND + 60_000
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    want = [(i, k, a, b, bool(c), t[a:b], len(t[:a].encode()), len(t[:b].encode())) for i, t in enumerate(texts) if i in (0, 3, 7) for k, (a, b, c) in enumerate(tokenize(t, {}))]
+    assert [r for r in rows if r[0] in (0, 3, 7)] == want
+    assert sum(p.num_rows for p in rules.packed_rows()([batch])) == len(texts) and len(list(rules.packed_rows()([batch]))) > 3
+    runs = [r for p in rules.run_rows([batch]) for r in p.to_pylist()]
+    for i in (0, 1, 2, 3, 7):
+        of = [r for r in runs if r["id"] == i]
+        assert "".join(r["run"] for r in of) == (texts[i] or "") and [r["run_idx"] for r in of] == list(range(len(of)))
+        assert all(r["run"].isspace() == r["is_space"] and texts[i][r["start"] :].startswith(r["run"]) for r in of)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from verbaline.functions.rules import packed_udf, rule_tokens_udf
-from verbaline.functions.text import SPACE, runs, web_tokens
+from verbaline.functions.rules import packed_rows, rule_tokens_udf, run_rows, token_rows
+from verbaline.functions.text import web_tokens
 
 
 def web_token_table(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -14,14 +17,15 @@ def web_token_table(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return df.select(*keys, F.posexplode(web_tokens(F.col(text))).alias("tok_idx", "token")).select(*keys, F.col("tok_idx").cast("long"), "token")
 
 
+def _mapped(df: DataFrame, keys: tuple[str, ...], text: str, run: Callable, added: str) -> DataFrame:
+    """keys and the added columns, from a narrow map over the texts."""
+    fields = T.StructType([*(df.schema[k] for k in keys), *T.StructType.fromDDL(added)])
+    return df.select(*keys, F.col(text).alias("_text")).mapInArrow(run, fields)
+
+
 def run_table(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """keys, run_idx, start (code points), run, is_space: alternating runs that together are the text."""
-    r = df.select(*keys, runs(F.col(text)).alias("r"))
-    step = F.transform("r", lambda x, i: F.struct(i.cast("long").alias("run_idx"), x.alias("run"), F.length(x).alias("n")))
-    flat = r.select(*keys, F.inline(step))
-    before = Window.partitionBy(*keys).orderBy("run_idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")
-    return flat.select(*keys, "run_idx", start.alias("start"), "run", F.col("run").rlike(f"^[{SPACE}]").alias("is_space"))
+    return _mapped(df, keys, text, run_rows, "run_idx long, start long, run string, is_space boolean")
 
 
 def rule_docs(df: DataFrame, *keys: str, text: str = "text", currency: bool = False) -> DataFrame:
@@ -29,15 +33,11 @@ def rule_docs(df: DataFrame, *keys: str, text: str = "text", currency: bool = Fa
     return df.select(*keys, F.col(text).alias("text"), rule_tokens_udf(currency)(F.col(text)).alias("tokens"))
 
 
-def piece(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, end - start)
-
-
-def rule_token_table(df: DataFrame, *keys: str, text: str = "text", currency: bool = False) -> DataFrame:
-    """keys, tok_idx, start, end, spacy, token."""
-    d = rule_docs(df, *keys, text=text, currency=currency)
-    cut = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["spacy"].alias("spacy"), piece(F.col("text"), t["start"], t["end"]).alias("token")))
-    return d.select(*keys, F.posexplode(cut).alias("tok_idx", "t")).select(*keys, F.col("tok_idx").cast("long"), "t.*")
+def rule_token_table(df: DataFrame, *keys: str, text: str = "text", currency: bool = False, by_bytes: bool = False) -> DataFrame:
+    """keys, tok_idx, start, end, spacy, token; by_bytes: start_byte and end_byte besides, as byte_offsets() gives them, without its
+    shuffle and for each row of df by itself. A task sends tokens on as it goes, so its memory does not grow with the table."""
+    added = "tok_idx long, start int, end int, spacy boolean, token string" + ", start_byte long, end_byte long" * by_bytes
+    return _mapped(df, keys, text, token_rows(currency, by_bytes), added)
 
 
 def byte_offsets(tokens: DataFrame) -> DataFrame:
@@ -50,6 +50,6 @@ def byte_offsets(tokens: DataFrame) -> DataFrame:
 
 
 def packed(df: DataFrame, *keys: str, text: str = "text", currency: bool = False) -> DataFrame:
-    """keys, buffer: one packed document per row of df (see packed_udf), so rows with equal keys stay apart. Null text: null;
+    """keys, buffer: one packed document per row of df (see packed_rows), so rows with equal keys stay apart. Null text: null;
     empty text: a buffer without tokens; empty table: no rows."""
-    return df.select(*keys, packed_udf(currency)(F.col(text)).alias("buffer"))
+    return _mapped(df, keys, text, packed_rows(currency), "buffer binary")
