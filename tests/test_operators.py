@@ -128,3 +128,27 @@ def test_taps_equal_the_network(spark, written_out, monkeypatch):
     got = {(r.id, r.tok_idx): r.logits for r in cnn.scored(t, cnn.tap_rows(embedding, layers), layers, "id").collect()}
     for k, s in sents.items():
         assert np.allclose([got[k, i] for i in range(len(s))], naive(w, s), atol=1e-5)
+
+
+def test_chunks_of_documents_meet_words_once(spark, monkeypatch):
+    """Encoding and scoring by chunks give what token tables give, and no window or join sees single tokens."""
+    from verbaline.operators import tokens
+
+    monkeypatch.setattr(vocab, "CHUNK_WORDS", 7)
+    rows = [(i, t) for i, t in enumerate(["a b c a b", "d", "", None, "a a a a a a a a b", "e f g h a", "b"])]
+    d = spark.createDataFrame(rows, "id long, text string").coalesce(2)
+    chunks = vocab.chunked(d.select("id", F.split("text", " ").alias("words")).withColumn("words", F.filter("words", lambda w: w != "")))
+    assert chunks.select("chunk").distinct().count() > 2
+    t = tokens.web_token_table(d, "id")
+    v = vocab.word_vocab(t.where("token <> 'b'"))
+    want = sorted((r.id, r.tok_idx, r.word_id) for r in vocab.encode(t, v).collect())
+    got = vocab.encoded_docs(chunks, v).select("id", F.posexplode("word_ids").alias("i", "w"))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    layers = {k: x for k, x in cnn.new_weights(1, 4, 6, 3, 1).items() if k != "embedding"}
+    every = vocab.word_vocab(t).withColumn("vector", F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.sin(i * F.col("word_id")).cast("float")))
+    taps = cnn.tap_rows(every, layers, "word")
+    plain = {(r.id, r.tok_idx): r.logits for r in cnn.scored(t.withColumnRenamed("token", "word"), taps, layers, "id", on="word").collect()}
+    by_chunk = cnn.scored_docs(chunks, taps, layers)
+    assert "Window" not in by_chunk._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
+    met = {(r.id, k): x for r in by_chunk.collect() for k, x in enumerate(r.logits)}
+    assert met.keys() == plain.keys() and all(abs(a - b) < 1e-12 for k in met for a, b in zip(met[k], plain[k], strict=True))

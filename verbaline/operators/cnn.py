@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verbaline.operators import vocab
+
 EMBED, FILTERS, TAPS = 128, 64, 3
 #: Products up to which a layer is written out in columns; beyond, it is a matrix product on Arrow batches.
 WRITTEN_OUT = 512
@@ -106,6 +108,26 @@ def scored(tokens: DataFrame, taps: DataFrame, layers: dict[str, np.ndarray], ke
     return near.select(*tokens.columns, h.alias("_h")).select(*tokens.columns, linear("_h", layers["fc.weight"], layers["fc.bias"]).alias("logits"))
 
 
+def scored_docs(chunks: DataFrame, taps: DataFrame, layers: dict[str, np.ndarray], on: str = "word") -> DataFrame:
+    """Documents of vocab.chunked() with logits, an array for each token in order: what scored() gives for token tables, but each
+    chunk meets the taps of its words once, and no token is shuffled. Every word must have taps."""
+    names = ["as_left", "as_mid", "as_right"]
+    bias, weight, out = (layers[k].astype(float) for k in ("conv.bias", "fc.weight", "fc.bias"))
+
+    def fn(at: np.ndarray, ends: np.ndarray, rows: dict[str, np.ndarray]) -> pa.Array:
+        if (at < 0).any():
+            raise ValueError("a word without taps")
+        left, mid, right = (rows[n][at] for n in names)
+        before, after = np.zeros_like(mid), np.zeros_like(mid)
+        before[1:], after[:-1] = left[:-1], right[1:]
+        before[ends[:-1]], after[ends - 1] = 0, 0  # first tokens of documents and last ones
+        h = before + mid + after
+        z = np.maximum(h + bias, 0) @ weight.T + out
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, z.shape[1]), pa.int32()), pa.array(z.ravel()))
+
+    return vocab.looked_up(chunks, taps, on, names, fn, T.StructField("logits", T.ArrayType(T.ArrayType(T.DoubleType()))))
+
+
 def linear(h: str, weight: np.ndarray, bias: np.ndarray) -> Column:
     """array<double>: weight times the column h, plus bias."""
     if weight.size <= WRITTEN_OUT:

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from verbaline.streaming.tagger import shared_folder
 
 PAD, UNK = "<PAD>", "<UNK>"
 
@@ -38,6 +47,77 @@ def encode(tokens: DataFrame, vocab: DataFrame, word: str = "token") -> DataFram
     return tokens.join(v, tokens[word] == F.col("_w"), "left").select(*tokens.columns, F.coalesce("word_id", F.lit(1).cast("long")).alias("word_id"))
 
 
+#: Words of a chunk of documents, about: what a task holds of the look-up at once.
+CHUNK_WORDS = 500_000
+
+
+def chunked(docs: DataFrame, words: str = "words") -> DataFrame:
+    """docs (one row a document) in chunks of neighbouring rows, written to the shared folder: chunk, the other columns, at (array:
+    each word's place in the chunk's list), and in one row of each chunk that list as listed. Rows without words are left out.
+
+    A word that a chunk holds many times is then looked up once for it, and tokens are never shuffled one by one.
+    """
+    keep = [c for c in docs.columns if c != words]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.fill_null(pc.greater(pc.list_value_length(b.column(words)), 0), False))
+            ends = np.cumsum(pc.list_value_length(b.column(words)).to_numpy())
+            cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(ends // CHUNK_WORDS)) + 1, b.num_rows])  # none of no rows
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = b.slice(lo, hi - lo)
+                x = part.column(words).flatten().dictionary_encode()
+                offsets = np.r_[0, np.cumsum(pc.list_value_length(part.column(words)).to_numpy())].astype(np.int32)
+                at = pa.ListArray.from_arrays(pa.array(offsets), x.indices.cast(pa.int32()))
+                listed = pa.array([x.dictionary.to_pylist()] + [None] * (hi - lo - 1), pa.list_(pa.string()))
+                chunk = pa.array([uuid.uuid4().hex] * (hi - lo))
+                yield pa.RecordBatch.from_arrays([chunk, *(part.column(c) for c in keep), at, listed], ["chunk", *keep, "at", "listed"])
+
+    fields = T.StructType([T.StructField("chunk", T.StringType()), *(docs.schema[c] for c in keep), *T.StructType.fromDDL("at array<int>, listed array<string>")])
+    at = shared_folder(docs.sparkSession, "chunks")
+    docs.select(*keep, words).mapInArrow(run, fields).write.parquet(at)
+    return docs.sparkSession.read.schema(fields).parquet(at)
+
+
+def listed_words(chunks: DataFrame) -> DataFrame:
+    """chunk, pos, token: the chunks' lists of words, in which every word of the documents occurs."""
+    return chunks.where("listed is not null").select("chunk", F.posexplode("listed").alias("pos", "token"))
+
+
+def looked_up(chunks: DataFrame, values: DataFrame, on: str, columns: list[str], fn: Callable[[np.ndarray, dict[str, np.ndarray]], pa.Array], added: T.StructField) -> DataFrame:
+    """chunks without at and listed, with a column of one list for each document, made by fn.
+
+    values (on, columns) has numbers, or lists of one length, by word; each chunk meets the rows of its own words. fn gets the
+    documents' words laid end to end, as places in the rows (-1: the word has none), with where each document ends, and the rows.
+    """
+    keep = [c for c in chunks.columns if c not in ("chunk", "at", "listed")]
+    met = listed_words(chunks).join(values.select(F.col(on).alias("_on"), *columns), F.col("token") == F.col("_on")).select(F.col("chunk").alias("of"), "pos", *columns)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        lists = left["at"].chunk(0)
+        at, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+        place = np.full(at.max() + 1, -1)
+        place[right["pos"].to_numpy()] = np.arange(right.num_rows)
+        rows = {}
+        for c in columns:
+            x = right[c].combine_chunks()
+            x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+            rows[c] = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False)
+        got = fn(place[at], np.cumsum(sizes), rows)
+        ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        return pa.table([*(left[c] for c in keep), pa.ListArray.from_arrays(ends, got)], [*keep, added.name])
+
+    fields = T.StructType([*(chunks.schema[c] for c in keep), added])
+    return chunks.drop("listed").groupBy("chunk").cogroup(met.groupBy("of")).applyInArrow(run, fields)
+
+
+def encoded_docs(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
+    """chunks' documents with word_ids, an array in order; 1 for words that the vocabulary lacks."""
+    fn = lambda at, _, rows: pa.array(np.r_[rows["word_id"], 1].astype(np.int64)[at])
+    return looked_up(chunks, vocab, "word", ["word_id"], fn, T.StructField("word_ids", T.ArrayType(T.LongType())))
+
+
 def encode_tags(tokens: DataFrame, vocab: DataFrame, tag: str = "tag", strict: bool = True) -> DataFrame:
     """tokens with tag_id; strict fails on a tag that the map lacks, else null."""
     v = vocab.select(F.col("tag").alias("_t"), F.col("tag_id").alias("_id"))
