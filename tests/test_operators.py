@@ -152,3 +152,15 @@ def test_chunks_of_documents_meet_words_once(spark, monkeypatch):
     assert "Window" not in by_chunk._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
     met = {(r.id, k): x for r in by_chunk.collect() for k, x in enumerate(r.logits)}
     assert met.keys() == plain.keys() and all(abs(a - b) < 1e-12 for k in met for a, b in zip(met[k], plain[k], strict=True))
+
+
+def test_heads_within_documents_join_no_tokens(spark):
+    """The same as the join of token tables, also for rows that share a doc or have none."""
+    rows = [(1, ["a", "b", "c", "d", "e"]), (1, ["f", "g"]), (2, ["h"]), (2, []), (3, None), (None, ["i", "j", "k"])]
+    d = spark.createDataFrame(rows, "doc_id long, w array<string>").select("doc_id", F.transform("w", lambda t: F.struct(t.alias("token"), F.upper(t).alias("tag"))).alias("s"))
+    got = features.heads_within(d, "doc_id", lambda i: F.floor(i / 2), "token", "tag")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    t = d.select("doc_id", F.posexplode("s").alias("tok_idx", "x")).select("doc_id", "tok_idx", "x.*").withColumn("head", F.floor(F.col("tok_idx") / 2))
+    want = features.heads(t).select("doc_id", "tok_idx", "head_token", "head_tag")
+    key = lambda df: sorted((str(tuple(r)) for r in df.collect()))
+    assert key(got) == key(want)
