@@ -372,3 +372,11 @@ def test_secrets_planted_without_a_keyword(spark):
     own = secrets.judge(secrets.scan(docs), model).select(F.sum(F.size("added"))).first()[0]
     beside = secrets.scan(docs).select(F.explode("candidates").alias("c")).where("not c.base").count()
     assert own <= 0.02 * beside
+
+
+def test_quality_learns_from_every_labelled_document(spark, docs_of):
+    docs = docs_of([(i, f"plain text w{i}x{i * 7919}", "a") for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    p, first = quality.learn(docs, labels, shard=20), quality.new_model()
+    word, *_ = quality.features(pa.array([f"w{i}x{i * 7919}" for i in range(60)]))
+    assert (p["word"][word] != first["word"][word]).any(axis=1).all()

@@ -11,13 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbaline.llm.common import first_by_hash, fold, hash32, sliced, written
-from verbaline.llm.nn import Adam, normal, sigmoid, summed
+from verbaline.llm.common import fold, sliced, written
+from verbaline.llm.nn import Adam, normal, rounds_of, sigmoid, summed
 
 #: Words in a passage, buckets of words and of their shapes, width of a passage's vector and of its attention.
 PASSAGE, WORDS, SHAPES, WIDTH, GATE = 64, 2048, 1024, 16, 8
-#: Labelled documents learned from at most, with all their passages; passes over them, documents in a step.
-TRAIN_DOCS, EPOCHS, STEP = 3000, 8, 32
+#: Labelled documents in a shard, about; passes of the first shard over its own, documents in a step.
+SHARD_DOCS, EPOCHS, STEP = 3000, 8, 32
+#: Rounds of all shards after that, a pass each, and their first rate.
+ROUNDS, LATER = 2, 0.003
 THRESHOLD = 0.3
 
 
@@ -85,14 +87,16 @@ def gradients(p: dict, f: dict, word: np.ndarray, shape: np.ndarray, owner: np.n
     }
 
 
-def train(samples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, *, epochs: int = EPOCHS, seed: int = 0) -> dict | None:
-    """The model from (word buckets, shape buckets, words in each passage) of each document, and its 0/1 label."""
+def train(samples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, *, epochs: int = EPOCHS, seed: int = 0, start: dict | None = None, rate: float = 0.01, part: tuple[int, int] = (0, 1)) -> dict | None:
+    """The model from (word buckets, shape buckets, words in each passage) of each document, and its 0/1 label; from weights
+    start, which change, if given, in the part[0]-th of part[1] rounds."""
     if not len(samples):
         return None
-    p, rng = new_model(seed), np.random.default_rng(seed)
-    share = np.clip(labels.mean(), 0.01, 0.99)
-    p["c"][:] = np.log(share / (1 - share))
-    adam, done, total = Adam(p, 0.01), 0, epochs * -(-len(samples) // STEP)
+    p, rng = start or new_model(seed), np.random.default_rng(seed)
+    if start is None:
+        share = np.clip(labels.mean(), 0.01, 0.99)
+        p["c"][:] = np.log(share / (1 - share))
+    adam, done, total = Adam(p, rate), 0, epochs * -(-len(samples) // STEP)
     for _ in range(epochs):
         order = rng.permutation(len(samples))
         for lo in range(0, len(order), STEP):
@@ -100,40 +104,43 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.n
             word, shape, size = (np.concatenate([samples[i][k] for i in rows]) for k in range(3))
             owner = np.repeat(np.arange(len(rows)), [len(samples[i][2]) for i in rows])
             f = forward(p, word, shape, np.cumsum(size) - size, owner, len(rows))
-            adam.step(gradients(p, f, word, shape, owner, labels[rows]), 1 - done / total)
+            adam.step(gradients(p, f, word, shape, owner, labels[rows]), 1 - (part[0] + done / total) / part[1])
             done += 1
     return p
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_DOCS) -> dict | None:
-    """The model from at most `most` labelled documents, the first by a hash of doc_id.
+def learn(docs: DataFrame, labels: DataFrame, *, shard: int = SHARD_DOCS) -> dict | None:
+    """The model from every labelled document, in shards of about `shard` that learn on the executors.
 
-    labels: doc_id, quality; null qualities are left out, a document with several takes the smallest. Only the chosen
-    ids, a bounded table, meet the texts; of several texts with one doc_id the first in order is read. The executors send
-    back the buckets of all words of each chosen text.
+    labels: doc_id, quality; null qualities are left out, a document with several takes the smallest. One shard learns the
+    first weights; from these all shards learn side by side, see nn.rounds_of(). Shards are dealt by a hash of doc_id and text,
+    so rows which share a doc_id are learned from like others. Only weights reach the driver.
     """
-    y = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    y = y.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    y = written(y.withColumn("h", hash32(F.col("doc_id"))), "labels")
-    chosen = first_by_hash(y, "h", most, "doc_id").select(F.col("doc_id").alias("id"), "quality").collect()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    known = docs.sparkSession.createDataFrame(chosen, f"id {kind}, quality int") if chosen else None
-    if known is None:
-        return None
+    y = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            word, shape, counts = features(b.column(1))
+            word, shape, counts = features(b.column(2).cast(pa.string()))
             cuts = np.r_[0, np.cumsum(counts)]
             raw = lambda v: pa.array([v[lo:hi].astype("<i2").tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), raw(word), raw(shape)], ["id", "quality", "word", "shape"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), raw(word), raw(shape)], ["doc_id", "h", "word", "shape"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).groupBy("id", "quality").agg(F.min("text").alias("text")).select("id", "text", "quality")
-    got = texts.mapInArrow(buckets, f"id {kind}, quality int, word binary, shape binary").collect()
-    got.sort(key=lambda r: r.id)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    every = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(buckets, f"doc_id {kind}, h long, word binary, shape binary")
+    rows = written(every.join(y.hint("merge"), "doc_id").select("h", "quality", "word", "shape"), "labelled")  # buckets meet the labels, as they are smaller than texts
+    shards = -(-rows.count() // shard)
+    if not shards:
+        return None
     read = lambda x: np.frombuffer(bytes(x), "<i2").astype(np.int64)
     sizes = lambda n: np.diff(np.r_[np.arange(0, n, PASSAGE), n])
-    return train([(read(r.word), read(r.shape), sizes(len(r.word) // 2)) for r in got], np.array([float(r.quality > 0) for r in got], np.float32))
+
+    def taught(t: pd.DataFrame, **how) -> dict:
+        t = t.sort_values(["h", "quality"], kind="stable")
+        return train([(read(w), read(x), sizes(len(w) // 2)) for w, x in zip(t["word"], t["shape"], strict=True)], (t["quality"] > 0).to_numpy(np.float32), **how)
+
+    rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    p = rounds_of(rows.where("shard = 0"), new_model(), lambda _, t, r: taught(t), 1)
+    return rounds_of(rows, p, lambda p, t, r: taught(t, start=p, epochs=1, seed=r + 1, rate=LATER, part=(r, ROUNDS)), ROUNDS) if shards > 1 else p
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
