@@ -380,3 +380,10 @@ def test_quality_learns_from_every_labelled_document(spark, docs_of):
     p, first = quality.learn(docs, labels, shard=20), quality.new_model()
     word, *_ = quality.features(pa.array([f"w{i}x{i * 7919}" for i in range(60)]))
     assert (p["word"][word] != first["word"][word]).any(axis=1).all()
+
+
+def test_secrets_learn_from_every_finding(spark, docs_of):
+    mark = [chr(128 + i // 2) for i in range(120)]  # each pair of texts has a byte of its own
+    docs = docs_of([(i, f"{m}{m} x{i * 7919}A4b {m}{m} password={i * 7919}abcdef", "a") for i, m in enumerate(mark)])
+    p, first = secrets.learn(secrets.scan(docs), 20)["p"], secrets.new_model(np.random.default_rng(0))
+    assert (p["embed"][128:188] != first["embed"][128:188]).any(axis=1).all()
