@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verbaline.functions.rules import packed_rows, rule_tokens_udf, run_rows, token_rows
+from verbaline.functions.rules import count_rows, packed_rows, rule_tokens_udf, run_rows, token_rows
 from verbaline.functions.text import web_tokens
 
 
@@ -40,6 +40,11 @@ def rule_token_table(df: DataFrame, *keys: str, text: str = "text", currency: bo
     return _mapped(df, keys, text, token_rows(currency, by_bytes), added)
 
 
+def rule_token_counts(df: DataFrame, *keys: str, text: str = "text", currency: bool = False) -> DataFrame:
+    """keys, n_tokens: how many rows rule_token_table() has for each row of df. Null or empty text: 0."""
+    return _mapped(df, keys, text, count_rows(currency), "n_tokens long")
+
+
 def byte_offsets(tokens: DataFrame) -> DataFrame:
     """A token table with start_byte and end_byte: running sums of the bytes of tokens and of the single spaces between them."""
     keys = [c for c in tokens.columns if c not in ("tok_idx", "start", "end", "spacy", "token")]
