@@ -241,56 +241,3 @@ def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idx = np.arange(len(r)) - np.searchsorted(r, begins[doc])
             keys = [c.take(pa.array(lo + doc)) for c in b.columns[:-1]]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(idx), pa.array(r - begins[doc]), runs, pa.array(blank[r])], [*b.schema.names[:-1], "run_idx", "start", "run", "is_space"])
-
-
-#: By code point, up to the last that PLAIN has: whether it is plain, a sign that is a suffix after any plain one, and what a dot is a suffix after.
-PLAINS = np.array([bool(PLAIN.match(chr(i))) for i in range(0x250)] + [False])
-SIGNS, DOTTED = (np.array([bool(re.match(c, chr(i))) for i in range(0x250)] + [False]) for c in ("[,;:!?)]", "[0-9a-z]"))
-
-
-def counts(texts: list[str], memo: dict[str, int], currency: bool = False) -> np.ndarray:
-    """The number of tokens of each text, as tokenize() cuts them. White space and plain chunks, with a sign or not, are counted on the code
-    points of all texts at once; the other chunks are taken apart, each once while memo has it."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    whole = "".join(texts)
-    if not whole:
-        return np.zeros(len(texts), np.int64)
-    point = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-    blank, low = BLANKS[np.minimum(point, 0xFFFF)], np.minimum(point, 0x250)
-    begins = np.cumsum(lengths) - lengths
-    new = np.r_[True, blank[1:] != blank[:-1]]
-    new[begins[lengths > 0]] = True
-    first = np.flatnonzero(new)
-    end = np.r_[first[1:], len(point)]
-    doc = np.searchsorted(begins, first, side="right") - 1
-    # A run of blanks gives a space to the chunk before it and is a token if more is left.
-    n = np.where(blank[first], (end - first > 1) | (point[first] != 32) | (first == begins[doc]), 1).astype(np.int64)
-    other = np.add.reduceat((~PLAINS[low]).astype(np.int32), first)
-    last, before = low[end - 1], low[np.maximum(end - 2, 0)]
-    signed = (other == 1) & (end - first > 1) & (SIGNS[last] | (last == ord(".")) & DOTTED[before])
-    n[signed & ~blank[first]] = 2
-    for i in np.flatnonzero((other > 0) & ~signed & ~blank[first]).tolist():
-        chunk = whole[first[i] : end[i]]
-        k = memo.get(chunk)
-        if k is None:
-            k = memo[chunk] = len(chunk_pieces(chunk, currency))
-        n[i] = k
-    return np.bincount(doc, n, len(texts)).astype(np.int64)
-
-
-def count_rows(currency: bool = False):
-    """For mapInArrow, batches whose last column is a text: the other columns and n_tokens, about SEND_BYTES of texts at once or one text.
-    Null text: 0."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
-        for b in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(sizes // SEND_BYTES)) + 1, b.num_rows])
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if len(memo) > MEMO:
-                    memo.clear()
-                part = b.slice(lo, hi - lo)
-                n = counts([t or "" for t in part.column(b.num_columns - 1).to_pylist()], memo, currency)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n)], [*b.schema.names[:-1], "n_tokens"])
-
-    return run
