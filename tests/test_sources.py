@@ -131,3 +131,11 @@ def test_conllu_is_read_and_written_without_a_shuffle_of_lines(spark, sf_dir, tm
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert rows == [(0, i) for i in range(5000)] + [(1, 0)]
+
+
+def test_onnx_roundtrip_makes_the_vocabulary_once(spark, sf_dir, monkeypatch):
+    from verbaline.plans import catalogue
+
+    plans, write = [], onnx_file.write
+    monkeypatch.setattr(catalogue.onnx_file, "write", lambda e, *rest: (plans.append(e._jdf.queryExecution().toString()), write(e, *rest)))
+    assert catalogue.onnx_roundtrip(spark, sf_dir).count() == 5 and "Generate" not in plans[0]

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,16 +111,17 @@ def fragments(embedding: DataFrame, layers: dict[str, np.ndarray]) -> DataFrame:
     if words * dim * 4 >= MOST_BYTES:
         raise ValueError(f"{words} words of {dim} numbers are beyond the 2 GB of the format")
 
-    def piece(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("word_id")
-        part = int(rows["part"].iloc[0])
+    def piece(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("word_id").combine_chunks()
+        part = rows["part"][0].as_py()
         first = part * PART_ROWS
-        if not np.array_equal(rows["word_id"], np.arange(first, min(words, first + PART_ROWS))):
+        if not np.array_equal(rows["word_id"].to_numpy(), np.arange(first, min(words, first + PART_ROWS))):
             raise ValueError(f"word ids from {first} on have gaps or repeats")
-        return pd.DataFrame({"part": [part], "content": [message((7, message((5, tensor(f"embedding/{part}", np.stack(rows["vector"].to_numpy()))))))]})
+        vectors = rows["vector"].chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        return pa.table({"part": pa.array([part], pa.int32()), "content": pa.array([message((7, message((5, tensor(f"embedding/{part}", vectors)))))], pa.binary())})
 
     parts = -(-words // PART_ROWS)
-    pieces = embedding.select("word_id", "vector", F.floor(F.col("word_id") / PART_ROWS).cast("int").alias("part")).groupBy("part").applyInPandas(piece, "part int, content binary")
+    pieces = embedding.select("word_id", "vector", F.floor(F.col("word_id") / PART_ROWS).cast("int").alias("part")).groupBy("part").applyInArrow(piece, "part int, content binary")
     first = head(layers, max(1, parts)) + (b"" if parts else message((7, message((5, tensor("embedding/0", np.zeros((0, dim), np.float32)))))))
     return spark.createDataFrame([(-1, first)], "part int, content binary").unionByName(pieces)
 
@@ -165,9 +165,13 @@ def tensors(spark: SparkSession, path: str) -> DataFrame:
 
 def embedding_rows(weights: DataFrame) -> DataFrame:
     """(word_id, vector) from the pieces of the embedding in tensors()."""
-    dim = F.col("shape")[1].cast("int")
-    e = weights.where("name = 'embedding' and shape[0] > 0").select("part", dim.alias("dim"), "values", F.explode(F.sequence(F.lit(0), F.col("shape")[0].cast("int") - 1)).alias("i"))
-    return e.select((F.col("part").cast("long") * PART_ROWS + F.col("i")).alias("word_id"), F.slice("values", F.col("i") * F.col("dim") + 1, F.col("dim")).alias("vector"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, shape, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                ids = pa.array(part * PART_ROWS + np.arange(shape[0]))
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(shape[0] + 1) * shape[1], pa.int32()), values.values)], ["word_id", "vector"])
+
+    return weights.where("name = 'embedding' and shape[0] > 0").select("part", "shape", "values").mapInArrow(run, "word_id long, vector array<float>")
 
 
 def described(spark: SparkSession, path: str) -> DataFrame:
