@@ -51,3 +51,9 @@ def test_stream_equals_batch(spark, models):
     rows = spark.createDataFrame([("w", i, f"r{i}", "INFER", 1, t) for i, t in enumerate(texts)], served.ASKED)
     got = {r.request_id: r for r in served.answers(rows, at).collect()}
     assert all(got[f"r{i}"].tags == tags_of(w[1], t) for i, t in enumerate(texts) if t is not None) and got["r5"].type == "ERROR"
+
+
+def test_batches_send_nothing_through_the_driver(spark, models):
+    at, _ = models
+    rows = spark.createDataFrame([("w", 0, "r0", "INFER", 1, "a b")], served.ASKED)
+    assert "Broadcast" not in served.answers(rows, at)._jdf.queryExecution().executedPlan().toString()

@@ -74,14 +74,17 @@ def load(spark: SparkSession, at: str, version: int) -> Model:
 
 
 def tagged(requests: DataFrame, model: Model, *keys: str) -> DataFrame:
-    """keys, words, tags of requests (keys, text), which keys tell apart: the batch tagger. Null texts are left out; empty ones have no words."""
+    """keys, words, tags of requests (keys, text), which keys tell apart: the batch tagger. Null texts are left out; empty ones have no words.
+
+    A stream has many batches, so its joins are by shuffle: a broadcast would send the taps through the driver for each of them.
+    """
     r = requests.where("text is not null").select(*keys, web_tokens(F.col("text")).alias("words"))
     t = r.select(F.struct(*keys).alias("id"), F.posexplode("words").alias("tok_idx", "word"))
-    scored = cnn.scored(t, model.taps, model.layers, "id", on="word", unknown=model.unknown)
+    scored = cnn.scored(t, model.taps.hint("merge"), model.layers, "id", on="word", unknown=model.unknown)
     name = F.get(F.array(*map(F.lit, model.tags)), vocab.argmax(F.col("logits")).cast("int"))
     each = scored.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "word", name.alias("tag")))).alias("s"))
     got = each.select("id.*", F.col("s.tag").alias("tags"))
-    return r.join(got, list(keys), "left").select(*keys, "words", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    return r.join(got.hint("merge"), list(keys), "left").select(*keys, "words", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
 def answers(rows: DataFrame, models: str) -> DataFrame:
@@ -97,7 +100,7 @@ def answers(rows: DataFrame, models: str) -> DataFrame:
         except Exception as e:  # a version that was never saved, or not wholly: an answer to its messages, and no end of the stream
             out = out.unionByName(of.select("request_id", F.lit("ERROR").alias("type"), none.alias("words"), none.alias("tags"), F.lit(f"no model {v}: {type(e).__name__}").alias("error")))
             continue
-        j = of.select(*keys, "request_id", "text").join(tagged(of, model, *keys), list(keys), "left")
+        j = of.select(*keys, "request_id", "text").join(tagged(of, model, *keys).hint("merge"), list(keys), "left")
         wrong = F.col("text").isNull()
         out = out.unionByName(j.select("request_id", F.when(wrong, "ERROR").otherwise("RESULT").alias("type"), "words", "tags", F.when(wrong, "no text").alias("error")))
     return out
