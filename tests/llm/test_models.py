@@ -219,6 +219,19 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert len(got) == 1000 and held.score.sum() > held.base_score.sum() + 0.01 * held.n_tokens.sum()
 
 
+@pytest.mark.parametrize("again", [0, 2**23])
+def test_lm_learns_from_every_text(spark, monkeypatch, again):
+    monkeypatch.setattr(lm_score, "AGAIN", again, raising=False)
+    n = 6000  # each text has an id of its own; every seventh is held out
+    ids = (n + (np.arange(n)[:, None] + np.arange(800)) % 300).astype(np.uint16)
+    ids[:, ::40] = np.arange(n)[:, None]
+    made = [(i, ids[i].tobytes(), i % 7 == 0, None) for i in range(n)]
+    rows = spark.createDataFrame(made, "doc_id long, ids binary, held_out boolean, bucket int")
+    p, layout = lm_score.learn(rows, rounds=3 if again == 0 else 1)
+    moved = (p["e"] != lm_score.new_model(layout)["e"]).any(axis=1)
+    assert np.array_equal(np.flatnonzero(~moved[:n]), np.arange(0, n, 7)) and moved[n : n + 300].all() and not moved[n + 300 : lm_score.EDGE].any()
+
+
 BASE = r"""
 WITH t AS (SELECT doc_id, doc_id % 3 = 0 AS held, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM docs),
 w AS (SELECT doc_id, held, unnest(list_append(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), '<end> ')) AS w FROM t),
