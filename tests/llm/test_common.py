@@ -1,8 +1,9 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from verbaline.llm.common import count_words, first_by_hash, fold, hash32, hash_bucket, lower_ascii, ranked
+from verbaline.llm.common import count_words, first_by_hash, fold, hash32, hash_bucket, lower_ascii, ranked, written
 from verbaline.llm.components import components
 
 
@@ -50,3 +51,15 @@ def test_first_by_hash_at_any_spread(spark):
     one = df.withColumn("h", F.lit(4 * 10**9))  # all rows share a hash
     assert [r.id for r in first_by_hash(one, "h", 300, "id").collect()] == list(range(300))
     assert first_by_hash(df.limit(7), "h", 300, "id").count() == 7 and first_by_hash(df.limit(0), "h", 300, "id").count() == 0
+
+
+def test_written_leaves_no_shuffle_behind(spark):
+    shuffles = lambda: sum(1 for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f)
+    before = shuffles()
+    t = written(spark.range(20000).groupBy((F.col("id") % 1000).alias("g")).count())
+    until = time.time() + 20
+    while shuffles() > before and time.time() < until:  # files are deleted in the background
+        time.sleep(0.2)
+    assert shuffles() <= before
+    assert t.count() == 1000 and t.agg(F.sum("count")).first()[0] == 20000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
