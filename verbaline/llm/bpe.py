@@ -154,18 +154,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def word_table(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """word, n, level, ids, piece: every distinct word once, encoded, and decoded again by the join with the pieces. level rises with n."""
+    """word, n, level, ids, piece: every distinct word once, encoded, and decoded again by the join with the pieces. level rises with n.
+    piece is null where it is the word itself, as nearly always, so that no word is stored and shuffled twice."""
+    raw_word = F.col("word").cast("binary")
     e = word_counts(docs).select("word", "n", F.floor(F.log2("n") * 32).cast("int").alias("level"), encode_udf(path)("word").alias("ids"))
-    conf, key = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")  # the counts' shuffle is of no use once the table is written
-    try:
-        encoded = written(e, "bpe-ids")  # by itself, so that a task has one Python worker at a time
-        words = written(decode(encoded, path), "bpe-words")
-        drop(encoded)
-        return words
-    finally:
-        conf.unset(key) if before is None else conf.set(key, before)
+    encoded = written(e, "bpe-ids")  # by itself, so that a task has one Python worker at a time
+    words = written(decode(encoded, path).withColumn("piece", F.nullif("piece", raw_word)), "bpe-words")
+    drop(encoded)
+    return words
 
 
 def sent_level(words: DataFrame, most: int) -> int:
@@ -307,15 +303,16 @@ def encode_and_decode(docs: DataFrame, *, path: str | None = None, sent_words: i
     spark = docs.sparkSession
     words = word_table(docs, path)
     level = sent_level(words, sent_words)
+    piece = F.coalesce("piece", F.col("word").cast("binary"))
     often = (F.col("level") >= level) & (F.octet_length("word") <= LONGEST)
-    t = words.where(often).select("word", "n", "ids", "piece").toArrow()
+    t = words.where(often).select("word", "n", "ids", piece.alias("piece")).toArrow()
     t = t.sort_by([("n", "descending"), ("word", "ascending")]).drop_columns("n")
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, t.schema) as out:
         out.write_table(t)
     name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
     bytes_of = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 8, "0")), ""))  # shorter on its way than a list
-    found = chunks(docs, name, sent, True).join(words.where(~often).select("word", bytes_of.alias("ids"), "piece"), "word").groupBy("chunk").agg(F.collect_list(F.struct("slot", "ids", "piece")).alias("found"))
+    found = chunks(docs, name, sent, True).join(words.where(~often).select("word", bytes_of.alias("ids"), "piece"), "word").groupBy("chunk").agg(F.collect_list(F.struct("slot", "ids", piece.alias("piece"))).alias("found"))
     rows = chunks(docs, name, sent, False).join(found, "chunk", "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
     return assembled(rows, name, sent, docs.schema["doc_id"].dataType.simpleString())
 
