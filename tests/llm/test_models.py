@@ -213,6 +213,48 @@ def test_lm_words_as_they_are_alone(spark):
     assert len(first) == 2 and len(lm_score.word_ids(pa.array([], pa.string()), bpe.encode_ordinary, starts)[0]) == 0
 
 
+def test_lm_pairs_of_classes_are_all_counted(spark):
+    rnd = np.random.default_rng(3)
+    texts = [rnd.integers(0, 1500, n).astype(np.uint16) for n in (0, 1, 40, 700, 3)]
+    want = np.zeros((lm_score.CLASSES, lm_score.CLASSES))
+    of = rnd.integers(0, lm_score.CLASSES, lm_score.IDS)
+    for t in texts:
+        seen = [lm_score.EDGE, *t.tolist(), lm_score.EDGE]
+        for a, b in zip(seen, seen[1:], strict=False):
+            want[of[a], of[b]] += 1
+    rows = spark.createDataFrame([(t.tobytes(),) for t in texts], "ids binary").repartition(3)
+    assert np.array_equal(lm_score.class_pairs(rows, of), want)
+    assert not lm_score.class_pairs(rows.limit(0), of).any()
+
+
+def test_lm_with_pairs_is_a_distribution_and_has_right_gradients():
+    _, plain, samples = small_model()
+    counts = np.bincount(np.concatenate(samples), minlength=lm_score.IDS).astype(float)
+    seen = plain.of[np.concatenate([[lm_score.EDGE, *t] for t in samples])]
+    pairs = np.bincount(seen[:-1] * lm_score.CLASSES + seen[1:], minlength=lm_score.CLASSES**2).reshape(lm_score.CLASSES, -1) * 50.0
+    layout = lm_score.Layout(counts, pairs)
+    p = {k: v.astype(np.float64) for k, v in lm_score.new_model(layout, hidden=24).items()}
+    p["w"] = np.random.default_rng(1).normal(size=p["w"].shape) * 0.1
+    x, y, _, begins = lm_score.blocks(samples[:6])
+    rows = np.arange(-1, 3) + np.arange(0, 9, 3)[:, None]  # runs of three blocks, which share the ones before
+    runs, target = x[rows].reshape(3, -1), y[rows[:, 1:]].reshape(3, -1)
+    loss, grads = lm_score.gradients(p, layout, runs, target)
+    own = np.arange(9)
+    assert abs(loss - lm_score.gradients(p, layout, lm_score.with_past(x, begins, own), y[own])[0]) < 1e-9
+    for k in ("e", "w"):
+        at, g = grads[k]
+        grads[k] = np.zeros_like(p[k])
+        grads[k][at] = g
+    checked(lambda: lm_score.gradients(p, layout, runs, target)[0], p, grads)
+    z, ids = lm_score.attend(p, runs)["z"][0, :1], np.arange(lm_score.IDS)
+    for before in (3, 700, lm_score.EDGE):
+        ln = lm_score.log_likelihood(p, layout, z.repeat(len(ids), axis=0), ids, np.full(len(ids), before))[0]
+        assert abs(np.exp(ln).sum() - 1) < 1e-5
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    want = [lm_score.gradients(p, layout, lm_score.with_past(*(lm_score.blocks([t])[i] for i in (0, 3)), np.arange(-(-(len(t) + 1) // lm_score.BLOCK))), lm_score.blocks([t])[1])[0] * -(len(t) + 1) / math.log(10) for t in samples]
+    assert np.allclose(lm_score.Scorer(p, layout).scores(samples), want, atol=2e-3)
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     got = lm_score.op2(spark, SF).toPandas()
     held = got[got.held_out]
