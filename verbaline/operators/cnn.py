@@ -173,6 +173,53 @@ def accuracy(tokens: DataFrame, pred: str, label: str, *keys: str) -> DataFrame:
     return tokens.groupBy(*keys).agg(F.try_divide(right, F.count_if(F.col(label) >= 0)).alias("accuracy"))
 
 
+#: Tokens whose gradients are worked out at once.
+TOGETHER = 1 << 16
+
+
+def sums(w: dict[str, np.ndarray], ids: np.ndarray, start: np.ndarray, y: np.ndarray) -> tuple[float, int, dict[str, np.ndarray]]:
+    """The sum of the losses over the labelled tokens of sentences laid end to end, which begin at start; how many these are; and the
+    sums of all gradients. What step() gives, for many tokens: a word's part in each tap is summed over its tokens first, and
+    the embedding and the convolution are met by word and no more by token."""
+    t = tables(w).astype(float)
+    edge, filters = t.shape[1] - 1, t.shape[2]
+    left, right = np.r_[edge, ids[:-1]], np.r_[ids[1:], edge]
+    left[start], right[start[1:] - 1] = edge, edge
+    near, weight = (left, ids, right), w["fc.weight"].astype(float)
+    by_word = np.zeros((TAPS, (edge + 1) * filters))
+    loss, g = 0.0, {"fc.weight": np.zeros(weight.shape), "fc.bias": np.zeros(len(weight)), "conv.bias": np.zeros(filters)}
+    real = np.flatnonzero(y >= 0)
+    for lo in range(0, len(real), TOGETHER):
+        rows = real[lo : lo + TOGETHER]
+        at = [x[rows] for x in near]
+        h = t[0][at[0]] + t[1][at[1]]
+        h += t[2][at[2]]
+        h += w["conv.bias"]
+        np.maximum(h, 0, out=h)
+        d = h @ weight.T
+        d += w["fc.bias"]
+        d -= d.max(axis=1, keepdims=True)
+        here = np.arange(0, d.size, d.shape[1]) + y[rows]
+        loss -= float(d.ravel()[here].sum())
+        np.exp(d, out=d)
+        total = d.sum(axis=1, keepdims=True)
+        loss += float(np.log(total).sum())
+        d /= total
+        d.ravel()[here] -= 1
+        dh = d @ weight
+        dh *= h > 0
+        g["fc.weight"] += d.T @ h
+        g["fc.bias"] += d.sum(axis=0)
+        g["conv.bias"] += dh.sum(axis=0)
+        for k in range(TAPS):
+            by_word[k] += np.bincount((at[k][:, None] * filters + np.arange(filters)).ravel(), dh.ravel(), by_word.shape[1])
+    s = by_word.reshape(TAPS, edge + 1, filters)[:, :-1]
+    e, conv = w["embedding"].astype(float), w["conv.weight"].astype(float)
+    g["conv.weight"] = np.stack([x.T @ e for x in s], axis=2)
+    g["embedding"] = sum(x @ conv[:, :, k] for k, x in enumerate(s))
+    return loss, len(real), g
+
+
 def step(w: dict[str, np.ndarray], sents: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
     """Mean loss over the labelled tokens of a batch, its logits, and all gradients."""
     n = np.array([len(x) for x, _ in sents])
