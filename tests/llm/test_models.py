@@ -274,6 +274,22 @@ def test_lm_learns_from_every_text(spark, monkeypatch, again):
     assert np.array_equal(np.flatnonzero(~moved[:n]), np.arange(0, n, 7)) and moved[n : n + 300].all() and not moved[n + 300 : lm_score.EDGE].any()
 
 
+@pytest.mark.parametrize("again", [0, 2**23])
+def test_lm_learns_from_every_text_in_every_round(spark, monkeypatch, again):
+    monkeypatch.setattr(lm_score, "AGAIN", again, raising=False)  # the size beyond which a text once had one round of three
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(0, 300, n).astype(np.uint16) for n in rng.integers(0, 400, 200)]
+    rows = spark.createDataFrame([(i, t.tobytes(), False, None) for i, t in enumerate(texts)], "doc_id long, ids binary, held_out boolean, bucket int").coalesce(1)
+    p, layout = lm_score.learn(rows, rounds=2)
+    want = lm_score.new_model(layout, hidden=64)
+    for r in range(2):
+        learner = lm_score.Learner(want, layout)
+        learner.learn(texts, 1 - r / 2, 1 - (r + 1) / 2, np.random.default_rng([r, 0]))
+        want = learner.p
+    assert all(p[k].shape == want[k].shape and np.allclose(p[k], want[k], atol=1e-2) for k in want)
+    assert not np.allclose(want["e"], lm_score.new_model(layout)["e"], atol=0.1)
+
+
 BASE = r"""
 WITH t AS (SELECT doc_id, doc_id % 3 = 0 AS held, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM docs),
 w AS (SELECT doc_id, held, unnest(list_append(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), '<end> ')) AS w FROM t),
