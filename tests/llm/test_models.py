@@ -274,27 +274,33 @@ def test_lm_learns_from_every_text(spark, monkeypatch, again):
     assert np.array_equal(np.flatnonzero(~moved[:n]), np.arange(0, n, 7)) and moved[n : n + 300].all() and not moved[n + 300 : lm_score.EDGE].any()
 
 
-@pytest.mark.parametrize("apart", [2**21, 2**14])
-def test_lm_learns_from_every_text_in_every_round(spark, monkeypatch, apart):
+@pytest.mark.parametrize("tasks", [1, 2])
+def test_lm_learns_from_every_text_in_every_round(spark, monkeypatch, tasks):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(lm_score, "AGAIN", 0, raising=False)  # the size beyond which a text once had one round of three
-    monkeypatch.setattr(lm_score, "APART", apart, raising=False)
+    monkeypatch.setattr(lm_score, "APART", 2**14, raising=False)
+    monkeypatch.setattr(lm_score, "LEAST", 2**14)
     rng = np.random.default_rng(0)
     texts = [rng.integers(0, 300, n).astype(np.uint16) for n in rng.integers(0, 400, 200)]
-    rows = spark.createDataFrame([(i, t.tobytes(), False, None) for i, t in enumerate(texts)], "doc_id long, ids binary, held_out boolean, bucket int").coalesce(1)
+    rows = spark.createDataFrame([(i, t.tobytes(), False, None) for i, t in enumerate(texts)], "doc_id long, ids binary, held_out boolean, bucket int").coalesce(tasks)
     p, layout = lm_score.learn(rows, rounds=2)
-    n = [len(t) + 1 for t in texts]
-    turns = -(-sum(n) // apart)
-    assert turns == (1 if apart == 2**21 else 3)
+    n, task = np.array([len(t) + 1 for t in texts]), np.array([r.k for r in rows.select(F.spark_partition_id().alias("k")).collect()])
+    sizes = np.bincount(task, n)
+    turns = 1 if tasks == 1 else -(-int(sizes.max()) // 2**14)
+    assert len(sizes) == tasks and (turns > 1) == (tasks > 1)
     at = np.array([r.k for r in rows.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "ids"), F.lit(turns)).alias("k")).collect()])
     want = lm_score.new_model(layout, hidden=64)
     for r in range(2 * turns):
-        own = np.flatnonzero(at == r % turns)
-        part = min(1, sum(n[i] for i in own) * turns / sum(n))
-        learner = lm_score.Learner(want, layout)
-        learner.learn([texts[i] for i in own], 1 - r / (2 * turns), 1 - (r + part) / (2 * turns), np.random.default_rng([r, 0]))
-        want = learner.p
+        done = []
+        for j in range(tasks):
+            own = np.flatnonzero((at == r % turns) & (task == j))
+            part = min(1, n[own].sum() * turns / sizes[j])
+            learner = lm_score.Learner(want, layout, 256 if tasks == 1 else 1024)
+            learner.learn([texts[i] for i in own], 1 - r / (2 * turns), 1 - (r + part) / (2 * turns), np.random.default_rng([r, j]))
+            done.append(learner)
+        weight = {k: [x.seen[k] + 1e-3 if k in x.seen else np.full(len(want[k]), x.steps) for x in done] for k in want}
+        want = {k: (sum((x.p[k].T * w).T for x, w in zip(done, weight[k], strict=True)).T / sum(weight[k])).T.astype(np.float32) for k in want}
     start = lm_score.new_model(layout, hidden=64)  # a first step of Adam turns on the sign of numbers near zero, so a few may differ
     off = {k: np.linalg.norm(p[k] - want[k]) / np.linalg.norm(want[k] - start[k]) for k in want if not np.array_equal(want[k], start[k])}
     assert len(off) > 6 and max(off.values()) < 0.1, off
